@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op6_simhash": simhash.op6_simhash,
 }
 
