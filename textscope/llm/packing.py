@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             )
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("raw"))
-    schema = kept.select("doc_id").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = kept.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     return kept.mapInArrow(run, schema)
 
 
