@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, pii, simhash
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_packing": packing.op2_packing,
     "op6_simhash": simhash.op6_simhash,
 }
