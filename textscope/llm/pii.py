@@ -58,7 +58,7 @@ GENERATORS = [
     ("phone", r"[0-9][\x20().-]{1,2}[0-9]", r"(?<![0-9+])[(]?[0-9]{2,4}[)]?(?:[\x20.-]{1,2}[0-9]{2,4}){1,4}(?![0-9])"),
     ("id", r"[0-9]{3}-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("id", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"),
-    ("email", r"(?i)[(\[\x20]at[)\]\x20]\x20?[a-z0-9-]{1,63}\x20?(?:[(\[]dot|\x20dot\x20|\.)", r"(?i)[a-z0-9._%+-]{1,64}\x20?(?:[(\[]at[)\]]|\x20at\x20)\x20?[a-z0-9-]{1,63}\x20?(?:[(\[]dot[)\]]|\x20dot\x20|\.)\x20?[a-z]{2,24}"),
+    ("email", r"(?i)[(\[]at[)\]]|\x20at\x20[a-z0-9-]+\x20dot\x20", r"(?i)[a-z0-9._%+-]{1,64}(?:\x20?[(\[]at[)\]]\x20?[a-z0-9-]{1,63}\x20?(?:[(\[]dot[)\]]|\.)|\x20at\x20[a-z0-9-]{1,63}\x20dot\x20)\x20?[a-z]{2,24}"),
 ]
 
 #: Context words, fixed values.
@@ -110,7 +110,7 @@ def labelled_sentences(n: int = SAMPLE, seed: int = 7) -> list[tuple[str, int]]:
         return r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", s.join((digits(3), digits(3), digits(4))), s.join(("0" + digits(1), *(digits(2) for _ in range(4))))])
 
     def mail():
-        at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot ")])
+        at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "), ("(at)", ".")])
         return f"{word()}.{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de'])}"
 
     def iban():
@@ -129,6 +129,7 @@ def labelled_sentences(n: int = SAMPLE, seed: int = 7) -> list[tuple[str, int]]:
         lambda: f"{r.choice(['AB', 'XK', 'NO'])}{digits(2)}{''.join(r.choice('ABCDEFGHJK0123456789') for _ in range(8))}",
         lambda: f"{word()} at {word()}. {word()}",
         lambda: f"{word()} at {word()} {word()}. {word()}",
+        lambda: f"[at] {word()} {word()}.{word()}",
     ]
     out = []
     for k in range(n):

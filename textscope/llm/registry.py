@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, pii, simhash
+from . import packing, pii, secrets, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_packing": packing.op2_packing,
+    "op3_secrets": secrets.op3_secrets,
     "op6_simhash": simhash.op6_simhash,
 }
 
