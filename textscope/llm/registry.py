@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, pii, secrets, simhash
+from . import packing, pii, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_simhash": simhash.op6_simhash,
 }
 
