@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality_rules, secrets, simhash
+from . import decontaminate, packing, pii, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_simhash": simhash.op6_simhash,
+    "op7_decontamination": decontaminate.op7_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
