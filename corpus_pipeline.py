@@ -1,21 +1,57 @@
-"""Corpus pipeline: stages that each apply one training-data operator."""
+"""Corpus pipeline: five stages that each apply one training-data operator.
+
+Stages take (spark, docs, sf_dir) and return the columns of ``documents``; the
+last returns the packed pieces. Each works on all rows it is given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textscope.llm import simhash
+from textscope.llm import decontaminate, packing, secrets, simhash, toxicity
+from textscope.llm.common import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the severity model rejects."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each class of near copies."""
+    return simhash.keep_one_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced in their texts."""
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences."""
+    return packing.packed(docs)
+
 
 STAGES = [
-    ("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.keep_one_each(docs)),
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can't express fingerprint components or packing.
+#: SQL can't express trained models, fingerprint components or packing; the
+#: tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -58,6 +58,25 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    """Lower-case words of letters and digits; other ASCII signs separate."""
+    if not raw.isascii():
+        raw = raw.decode("utf-8", "replace").lower().encode()
+    return raw.lower().translate(_PLAIN).split()
+
+
+def sampled(ids: DataFrame, name: str, limit: int) -> DataFrame:
+    """About ``limit`` rows at most, chosen by a hash of their id; all, where there
+    are no more."""
+    n = ids.count()
+    if n <= limit:
+        return ids
+    return ids.where(F.pmod(F.xxhash64(F.col(name), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+
+
 def bucket_of_id(name: str, n: int) -> Column:
     """crc32 of an id's decimal text modulo n (null id: bucket of '')."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import as_bytes, as_text, small_batches, table
+from .common import as_bytes, as_text, small_batches, table, words_of
 
 SHINGLE_WORDS = 5
 MIN_OVERLAP = 0.8
@@ -38,17 +38,9 @@ BLOCK_ITEMS = 8
 CHUNK_ITEMS = 20_000
 CHUNK_WORDS = 2_000_000
 
-_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 HITS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,overlap:double>>"
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """Lower-case words of letters and digits; other ASCII signs separate."""
-    if not raw.isascii():
-        raw = raw.decode("utf-8", "replace").lower().encode()
-    return raw.lower().translate(_PLAIN).split()
-
-
 def shingles(words: list[bytes]) -> set[bytes]:
     n = SHINGLE_WORDS
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} or ({b" ".join(words)} if words else set())
