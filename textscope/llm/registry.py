@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity
+from . import decontaminate, licenses, packing, pii, quality_classifier, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_licenses": licenses.op8_licenses,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
 }
