@@ -36,7 +36,7 @@ TEMPLATES = {
     "LGPL": ["licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license"],
     "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license 2.0"],
-    "Proprietary": ["all rights reserved no part may be reproduced without written permission", "confidential and proprietary all rights reserved"],
+    "Proprietary": ["all rights reserved no part may be reproduced without written permission", "confidential and proprietary all rights reserved", "all rights reserved"],
 }
 FAMILIES = ["none", "unknown", *TEMPLATES]
 #: Ordinary sentences with licensing words, and wordings of no listed family; fixed values.
