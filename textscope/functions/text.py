@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _DROP = r"[^\p{L}\p{N}\p{Co}]"
 
@@ -92,7 +93,7 @@ def normalize_str(text: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", t).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize(s: pd.Series) -> pd.Series:
     """NFC and any entity need Python; batches of rows by Arrow."""
     return s.map(normalize_str)

@@ -26,12 +26,13 @@ def topic_sources(index: DataFrame, tag: str, filter: Filter | None = None, k: i
 
 def topic_statistics(index: DataFrame, tag: str, filter: Filter | None = None) -> DataFrame:
     """(dimension, value, count): source_type and pub_year over all matches, and
-    their number; one pass by grouping sets."""
+    their number; one pass."""
     some = topic_hits(index, tag, filter).select(
         F.coalesce(F.nullif(F.col("source_type"), F.lit("")), F.lit("unknown")).alias("source_type"),
         F.coalesce(F.nullif(F.col("pub_year").cast("string"), F.lit("")), F.lit("unknown")).alias("pub_year"),
     )
-    pairs = some.select(F.explode(F.array(F.struct(F.lit("source_type").alias("dimension"), F.col("source_type").alias("value")), F.struct(F.lit("pub_year"), F.col("pub_year")), F.struct(F.lit("total_hits"), F.lit("")))).alias("p"))
+    pair = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("value"))
+    pairs = some.select(F.explode(F.array(pair("source_type", F.col("source_type")), pair("pub_year", F.col("pub_year")), pair("total_hits", F.lit("")))).alias("p"))
     return pairs.groupBy(F.col("p.dimension").alias("dimension"), F.col("p.value").alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
