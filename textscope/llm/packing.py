@@ -33,6 +33,8 @@ END_ID = 2
 GROUP = 20_000
 #: Exchanges tried for one sequence before it is left as it is.
 TRIES = 200
+#: Sequences between which exchanges are tried when the emptiest one has none.
+NEARBY = 40
 
 
 def default_vocabulary() -> str:
@@ -166,28 +168,29 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY,
     as full as the other, so the sum of squared fills rises. Never more bins."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = math.ceil(sum(fill) / capacity)
-    rank = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))
-    used = sum(1 for f in fill if f)
-    at = 0
-    while used > least and at < len(rank):
-        v, left, moved = rank[at], tries, True
+
+    def exchange(low: int, high: int) -> bool:
+        if fill[high] >= capacity or not fill[high] or fill[high] < fill[low] or not _exchange(bins[low], bins[high], capacity - fill[high], lengths):
+            return False
+        total = fill[low] + fill[high]
+        fill[high] = sum(lengths[i] for i in bins[high])
+        fill[low] = total - fill[high]
+        return True
+
+    while True:
+        rank = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
+        if sum(1 for f in fill if f) <= least or len(rank) < 2:
+            break
+        v, left, moved = rank[0], tries, True
         while fill[v] and left > 0 and moved:
-            moved = False
-            for h in reversed(rank[at + 1 :]):
-                if fill[h] >= capacity or fill[h] < fill[v] or not fill[h]:
-                    continue
-                if _exchange(bins[v], bins[h], capacity - fill[h], lengths):
-                    total = fill[v] + fill[h]
-                    fill[h] = sum(lengths[i] for i in bins[h])
-                    fill[v] = total - fill[h]
-                    left, moved = left - 1, True
-                    break
-                left -= 0.01  # a look without an exchange costs little, but costs
-                if left <= 0:
-                    break
+            left -= 1
+            # out of the emptiest, into the fullest that takes it
+            moved = any(exchange(v, h) for h in reversed(rank[1:]))
+            if not moved:  # else between others, which changes what has room
+                some = sorted(rank[1:], key=lambda k: (fill[k], k))[:NEARBY]
+                moved = any(exchange(a, b) for k, a in enumerate(some) for b in reversed(some[k + 1 :]))
         if fill[v]:
             break
-        used, at = used - 1, at + 1
     return [b for b in bins if b]
 
 
