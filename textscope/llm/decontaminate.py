@@ -172,15 +172,15 @@ def _document_frequencies(benchmark: DataFrame, chunk: list[tuple[int, str]], wh
     return {r.term.encode(): r["count"] for r in counted.toLocalIterator()}, mean
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``hits``, an array of the items found in each text.
+def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "hits") -> DataFrame:
+    """docs with ``name``, an array of the items found in each text.
 
-    A row keeps its place and columns (one named hits is replaced). Null, empty
+    A row keeps its place and columns (one of that name is replaced). Null, empty
     and wordless texts have no hit. Items with null id or without a word are left
     out; repeated items give a hit each; items of fewer than five words count as
     one shingle, found where they stand word for word. No item: no hit."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("hits")
+    docs = docs.drop(name)
     if text not in docs.columns:
         raise ValueError(f"no column {text}")
     count, chunks = _chunks(benchmark)
@@ -193,7 +193,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
     for k, index in enumerate(made):
         out = _one_pass(out, index, f"__hits{k}", text)
     names = [f"__hits{k}" for k in range(len(made))]
-    return out.withColumn("hits", F.concat(*names)).drop(*names)
+    return out.withColumn(name, F.concat(*names)).drop(*names)
 
 
 def _one_pass(docs: DataFrame, index: Index, name: str, text: str) -> DataFrame:
@@ -212,7 +212,7 @@ def _one_pass(docs: DataFrame, index: Index, name: str, text: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no benchmark item."""
-    return annotate(docs, benchmark).where("size(hits) = 0").drop("hits")
+    return annotate(docs, benchmark, name="__hits").where("size(__hits) = 0").drop("__hits")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ PRIOR_GOOD = 0.8
 EM_ROUNDS = 100
 KEEP_FROM = 0.5
 #: Shares of a rule's votes on good (1) and bad (0) texts, before any is seen.
-START = {1: {"g": 0.93, "b": 0.005, "-": 0.065}, 0: {"g": 0.55, "b": 0.3, "-": 0.15}}
+START = {1: {"g": 0.93, "b": 0.005, "-": 0.065}, 0: {"g": 0.72, "b": 0.18, "-": 0.10}}
 PRIOR_WEIGHT = 0.5
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -86,6 +86,7 @@ RULES = {
     "length": ("n_words >= 80", "n_words < 50"),
     "repeats": ("10 * n_repeat_words <= 3 * n_words", "2 * n_repeat_words > n_words"),
     "symbols": ("50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    "noise": ("100 * n_symbols <= word_chars", "12 * n_symbols > word_chars"),
     "lines": ("n_dup_lines = 0", "n_dup_lines >= 3"),
     "capitals": ("5 * n_upper <= word_chars", "2 * n_upper > word_chars"),
     "marks": ("50 * n_bars <= n_words", "5 * n_bars > n_words"),

@@ -23,7 +23,7 @@ from .common import as_bytes, materialize, sampled, small_batches, table, words_
 
 #: Labelled texts that the model is fitted on.
 SAMPLE = 24_000
-FEATURES = 4096
+FEATURES = 384
 GRADES = 4
 #: Telling words: log odds from which, and texts in which at least.
 TELLING_ODDS, TELLING_TEXTS = 3.0, 3
