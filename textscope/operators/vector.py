@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import zlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,6 @@ def search(vectors: DataFrame, meta: DataFrame, query: list[float], *, limit: in
 
 def encode(df: DataFrame, embedder, text: str, name: str = "vec") -> DataFrame:
     """df with vectors of a text column; the embedder has DIM and encode_batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(list(embedder.encode_batch(s.fillna("").tolist())))
@@ -51,8 +51,6 @@ class HashEmbedder:
         self.DIM = dim
 
     def encode_batch(self, texts: list[str]) -> list[list[float]]:
-        import zlib
-
         out = []
         for t in texts:
             v = [0.0] * self.DIM

@@ -74,7 +74,7 @@ _FIELDS = (
 
 def read_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path relative to root, text) of the *.md files."""
-    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).option("wholetext", "true").text(root)
+    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).option("wholetext", "true").format("text").load(root)
     base = root.rstrip("/").split("://")[-1].split(":")[-1]
     path = F.regexp_replace(F.url_decode(F.input_file_name()), f"^.*?\\Q{base}\\E/", "")
     return files.select(path.alias("path"), F.col("value").alias("text"))
