@@ -21,11 +21,17 @@ K1, B = 1.2, 0.75
 QUERY_BLOCK = 32
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are evaluated once a row: a generator stands between
+    them and what refers to them, so the optimiser can't repeat them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def folded(articles: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
     """articles with a folded column ``{name}_f`` for each of columns (name ->
     source) and doc_len, their total length. Write it once, search it often."""
     made = {f"{n}_f": X.fold(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))) for n, c in columns.items()}
-    out = articles.withColumns(made)
+    out = computed(articles, made)
     return out.withColumn("doc_len", reduce(lambda a, b: a + b, (F.length(c) for c in made)))
 
 
@@ -57,7 +63,7 @@ def scored(index: DataFrame, query: str | list[str], column: str | None = None,
     terms = X.phrases(query) if isinstance(query, str) else list(query)
     if not terms:
         return index.where(F.lit(False)).withColumn("bm25_raw", F.lit(0.0))
-    counted = index.withColumn("__tf", term_counts(index, terms, column))
+    counted = computed(index, {"__tf": term_counts(index, terms, column)})
     stats = counted.agg(
         F.count(F.lit(1)).alias("__n"),
         F.avg("doc_len").alias("__avg"),
@@ -120,7 +126,7 @@ def search_many(index: DataFrame, queries: list[tuple[int, str]], *, limit: int
             continue
         terms = list(dict.fromkeys(x for _, t in some for x in t))
         place = {t: k for k, t in enumerate(terms)}
-        counted = index.withColumn("__tf", term_counts(index, terms))
+        counted = computed(index, {"__tf": term_counts(index, terms)})
         stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("doc_len").alias("__avg"), F.array(*[F.count_if(F.col("__tf")[k] > 0) for k in range(len(terms))]).alias("__df"))
         joined = counted.where(not_excluded()).select("article_id", "doc_len", "__tf").where(F.exists("__tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
 
@@ -129,7 +135,7 @@ def search_many(index: DataFrame, queries: list[tuple[int, str]], *, limit: int
             idf = F.log((F.col("__n") - df + 0.5) / (df + 0.5))
             return F.when(idf <= 0, 1e-6).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("__avg")))
 
-        joined = joined.withColumn("__w", F.array(*[weight(k) for k in range(len(terms))]))
+        joined = computed(joined, {"__w": F.array(*[weight(k) for k in range(len(terms))])})
         rows = []
         for q, t in some:
             hit = reduce(lambda x, y: (x | y) if any_term else (x & y), (F.col("__tf")[place[x]] > 0 for x in t))
