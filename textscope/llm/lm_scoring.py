@@ -222,12 +222,29 @@ def _gradient(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return total, size
 
 
+def _frequent(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
+    """The words down to a count that at most ``most`` words reach, most frequent
+    first. The count comes from a histogram with at most some 70,000 steps, so
+    that only the words asked for are sent, whatever the number of tasks."""
+    step = F.when(F.col("c") < 65_536, F.col("c")).otherwise(65_536 + F.floor(F.log2("c") * 16)).cast("long")
+    above, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        above += r.n
+        if above > most:
+            break
+        least = r.step
+    if least is None:
+        return [], []
+    held = counts.where(step >= least).select("word", "c").toArrow()
+    pairs = sorted(zip(held.column("c").to_pylist(), held.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
+    return [w for _, w in pairs], [c for c, _ in pairs]
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame, int, int]:
     """(model, counts (word, c), N, V) from docs (doc_id, text)."""
     counts = materialize(word_counts(docs), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    words, totals = [bytes(r.word) for r in head], [r.c for r in head]
+    words, totals = _frequent(counts, HEAD)
     if END not in words[:SINGLE]:  # the end is a class of its own
         if END in words:
             k = words.index(END)
