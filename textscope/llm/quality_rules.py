@@ -129,11 +129,13 @@ def posteriors(patterns: dict[str, int], prior: float = PRIOR_GOOD, rounds: int
 
 def judge(docs: DataFrame, text: str = "text", keep_from: float = KEEP_FROM, carry: list[str] | None = None) -> DataFrame:
     """The carried columns of docs (all but the text unless named), the measures,
-    votes, quality (posterior probability of good) and kept, one row per row.
+    votes, quality (posterior probability of good) and kept, one row per row;
+    columns of docs with these names are replaced.
 
     Null, empty and wordless texts fail (n_words < 50). Ties with ``keep_from``
     are kept. Repeated rows count as often as they occur. Empty: empty."""
-    carry = [c for c in docs.columns if c != text] if carry is None else carry
+    made = {"votes", "quality", "kept"}
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in made and (carry is not None or c != text)]
     held = materialize(votes(measure(docs.select(*carry, *([text] if text not in carry else [])), text)).drop(*([text] if text not in carry else [])), "votes")
     found = posteriors({r.votes: r["count"] for r in held.groupBy("votes").count().collect()})
     spark = docs.sparkSession

@@ -97,6 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     # a G-like score: how surprising the split of the word's texts is
     chosen = counts.where("a + b >= 3").select("word", "a", odds.alias("odds"), ((F.col("a") + 0.5) * F.abs(odds)).alias("rank")).orderBy(F.desc("rank"), "word").limit(features).collect()
     place = {r.word: k for k, r in enumerate(chosen)}
+    # words that hardly part the sample enter small, so that the penalty holds them down
+    trust = {r.word: min(1.0, abs(r.odds) / TELLING_ODDS) ** 2 for r in chosen}
     telling = {r.word for r in chosen if r.odds >= TELLING_ODDS and r.a >= TELLING_TEXTS}
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(set(place))
@@ -110,9 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     for r in held.mapInArrow(run, held.schema).toLocalIterator():
         hits = sum(n for w, n in r.counts.items() if w in telling)
         grade = 0 if not r.toxic else 1 if hits <= 2 else 2 if hits <= 5 else 3
-        rows.append((grade, {place[w]: math.log2(1 + n) for w, n in r.counts.items()}))
+        rows.append((grade, {place[w]: trust[w] * math.log2(1 + n) for w, n in r.counts.items()}))
     w, theta = fit_ordinal(rows, len(place))
-    return Ordinal({word.encode(): float(w[k]) for word, k in place.items()}, theta.tolist())
+    return Ordinal({word.encode(): float(w[k]) * trust[word] for word, k in place.items()}, theta.tolist())
 
 
 def grade(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
