@@ -40,6 +40,7 @@ ROUNDS = 4
 GROUP_SAMPLE = 4000
 CHUNK = 1 << 15
 END = b""
+SLICE = 1 << 20
 
 
 def tokens_of(raw: bytes) -> list[bytes]:
@@ -50,6 +51,18 @@ def _ending(word: bytes) -> int:
     return int.from_bytes(word[-2:], "big")
 
 
+def _slices(batch: pa.RecordBatch, column: int):
+    """(rows, their texts) of a batch, about ``SLICE`` bytes of text at a time: a
+    token takes far more room as an object than in the text."""
+    texts = batch.column(column).to_pylist()
+    start = size = 0
+    for k, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= SLICE or k == len(texts):
+            yield batch.slice(start, k - start), texts[start:k]
+            start, size = k, 0
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, c long) over the texts' words and one end each."""
     small_batches(docs.sparkSession)
@@ -61,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for raw in batch.column(0).to_pylist():
                 held.update(tokens_of(raw))
                 held[END] += 1
-                if len(held) > 300_000:
+                if len(held) > 150_000:
                     yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=names)
                     held.clear()
         if held:
@@ -199,8 +212,9 @@ def _gradient(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         total, size = np.zeros((rows, width), np.float32), np.zeros(rows, np.float32)
         for batch in batches:
-            _, _, cls, features, _ = shared.value.encode(batch.column(0).to_pylist())
-            shared.value.add_gradient(total, size, cls, features)
+            for _, texts in _slices(batch, 0):
+                _, _, cls, features, _ = shared.value.encode(texts)
+                shared.value.add_gradient(total, size, cls, features)
         at = [a for a in range(0, rows, step) if size[a : a + step].any()]
         if at:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([np.column_stack([total[a : a + step], size[a : a + step]]).tobytes() for a in at])], names=["at", "sums"])
@@ -290,8 +304,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches):
         m = shared.value
-        for batch in batches:
-            words, rank, cls, features, sizes = m.encode(batch.column(2).to_pylist())
+        for batch, texts in (x for whole in batches for x in _slices(whole, 2)):
+            words, rank, cls, features, sizes = m.encode(texts)
             stops = np.cumsum(sizes)
             starts = stops - sizes
             part = m.class_part(cls, features)
