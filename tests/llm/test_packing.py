@@ -28,6 +28,17 @@ def test_ids_equal_the_library(tokenizer):
         assert np.frombuffer(ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_the_query_takes_added_tokens_and_endless_space_as_the_library_does(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = packing.ids_for(packing.default_vocabulary(), ordinary=False)
+    texts = TEXTS + ["a <|endoftext|> hi", "<|endoftext|><|endoftext|>", "<|endoftext", *(f"a{s * 1_200_000}{end}" for s in (" ", "\n") for end in ("x", ""))]
+    for t in texts:
+        assert np.frombuffer(ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    docs = [(1, "a <|endoftext|> hi"), (2, texts[-1])]
+    docs_of(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    held(packing.op2_packing(spark, str(tmp_path)).collect(), docs, library, 1024)
+
+
 def test_pieces_put_the_short_one_first():
     assert packing.cut(5, 10) == [(0, 5)]
     assert packing.cut(20, 10) == [(0, 10), (10, 10)]

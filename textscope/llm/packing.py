@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import struct
 import sys
 import zlib
@@ -35,6 +36,10 @@ GROUP = 20_000
 TRIES = 200
 #: Sequences between which exchanges are tried when the emptiest one has none.
 NEARBY = 40
+#: Whitespace signs in a row that the faster encoder isn't given: some 100,000 it
+#: takes, a million overflow its stack.
+LONG_SPACE = 20_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
 
 
 def default_vocabulary() -> str:
@@ -53,20 +58,32 @@ def _byte_of_letter() -> dict[str, int]:
 
 class Ids:
     """Texts to little-endian 32-bit ids, as the ``tokenizers`` library gives them
-    for the vocabulary file, special strings taken as ordinary text. The merges
-    of a byte-level vocabulary are its ids in order, so a faster encoder can run
-    on the same file; the tests hold one against the other."""
-
-    def __init__(self, vocabulary: str):
+    for the vocabulary file, no special ids added. An added token in a text is its
+    own id, as by the library's default; with ``ordinary`` it is ordinary text. The
+    merges of a byte-level vocabulary are its ids in order, so a faster encoder can
+    run on the same file; the tests hold one against the other. It knows no added
+    tokens and can't take whitespace without an end, so texts with either go to the
+    library itself."""
+
+    def __init__(self, vocabulary: str, ordinary: bool = True):
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)
         letters = _byte_of_letter()
-        special = {x["content"] for x in model.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in word): k for word, k in model["model"]["vocab"].items() if word not in special}
-        self._encode = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = [x["content"] for x in model.get("added_tokens", [])]
+        self._added = [] if ordinary else added
+        ranks = {bytes(letters[c] for c in word): k for word, k in model["model"]["vocab"].items() if word not in added}
+        self._fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._library = Tokenizer.from_file(vocabulary)
+        self._library.encode_special_tokens = ordinary
+
+    def _encode(self, text: str) -> list[int]:
+        if any(x in text for x in self._added) or (len(text) >= LONG_SPACE and _LONG_SPACE.search(text)):
+            return self._library.encode(text, add_special_tokens=False).ids
+        return self._fast(text)
 
     def __call__(self, text: str) -> bytes:
         ids = array("I", self._encode(text))
@@ -76,8 +93,8 @@ class Ids:
 
 
 @lru_cache(maxsize=2)
-def ids_for(vocabulary: str) -> Ids:
-    return Ids(vocabulary)
+def ids_for(vocabulary: str, ordinary: bool = True) -> Ids:
+    return Ids(vocabulary, ordinary)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -87,7 +104,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], n])]
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", ordinary: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row's ids and a closing
     END_ID. Null or empty text: one piece with the closing id alone."""
     small_batches(docs.sparkSession)
@@ -95,7 +112,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     end = struct.pack("<I", END_ID)
 
     def run(batches):
-        ids = ids_for(vocabulary)
+        ids = ids_for(vocabulary, ordinary)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for k, raw in enumerate(batch.column(1).to_pylist()):
@@ -198,14 +215,14 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return improve(best_fit(lengths, capacity), lengths, capacity)
 
 
-def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, group: int = GROUP, ordinary: bool = True) -> DataFrame:
     """pieces(docs) with sequence_id and offset.
 
     Every row of docs is packed, repeated rows as often as given; null or empty
     texts count as the closing id alone; other columns are ignored. Piece by
     piece: sequences are gapless from offset 0 and hold at most ``capacity`` ids.
     An empty table gives an empty result."""
-    made = materialize(pieces(docs, vocabulary, capacity), "pieces")
+    made = materialize(pieces(docs, vocabulary, capacity, ordinary=ordinary), "pieces")
     marked = made.withColumn("row", F.monotonically_increasing_id())
     full = marked.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     groups = max(1, math.ceil(made.where(F.col("length") < capacity).count() / group))
@@ -226,4 +243,4 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), ordinary=False)
