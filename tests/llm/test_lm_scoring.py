@@ -60,6 +60,28 @@ def test_probabilities_sum_to_one(spark):
         assert abs(total + (0 if c < lm.SINGLE else 1) - want) < 1e-6 * want
 
 
+def test_endings_are_grouped_by_all_texts(spark):
+    """An ending of one text only stands with the one that follows the same word."""
+    head = [f"w{k:02d}".encode() for k in range(30)]
+    letter = lambda k: chr(97 + k // 10) + chr(97 + k % 10)
+    rows = [(k, f"w{k % 30:02d} common{letter(k % 30)}") for k in range(8400)]
+    rows += [(9000 + j, f"Unled w{j:02d} rare{letter(j).upper()[0]}{'qrstuvwxyz'[j % 10]}") for j in range(30)] + [(9100, None), (9101, "w01")]
+    docs = docs_of(spark, rows)
+    m = lm._ending_counts(docs, head)
+    want = Counter()
+    for _, t in rows:
+        near = None
+        for w in lm.tokens_of((t or "").encode()):
+            if w in head:
+                near = head.index(w)
+            elif near is not None:
+                want[lm._ending(w), near] += 1
+    assert {(int(e), int(k)): int(m[e, k]) for e, k in zip(*np.nonzero(m))} == want
+    group = lm._ending_groups(docs, head)
+    for j in range(30):
+        assert group[lm._ending(rows[8400 + j][1].lower().encode())] == group[lm._ending(rows[j][1].encode())]
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     got = lm.score(docs).collect()

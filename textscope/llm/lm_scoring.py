@@ -36,9 +36,8 @@ CLASSES = SINGLE + GROUPS
 OWN, ENDINGS, PAIRS = 4096, 2048, 1 << 14
 WORDS = OWN + ENDINGS
 ROUNDS = 4
-#: Texts from which the endings' groups are formed.
-GROUP_SAMPLE = 4000
-CHUNK = 1 << 15
+#: Tokens worked on at a time: their probabilities stay in a core's cache.
+CHUNK = 1 << 12
 END = b""
 SLICE = 1 << 20
 
@@ -148,40 +147,62 @@ class Model:
             g = -self.probabilities(f)
             g[np.arange(len(g)), cls[a : a + CHUNK]] += 1
             for k in range(3):
-                order = np.argsort(f[:, k], kind="stable")
+                order = np.argsort(f[:, k].astype(np.uint16), kind="stable")  # two bytes: sorted by radix
                 rows = f[order, k]
                 starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
                 total[rows[starts]] += np.add.reduceat(g[order], starts, axis=0)
                 size[rows[starts]] += np.diff(np.concatenate([starts, [len(rows)]]))
 
 
-def _ending_groups(docs: DataFrame, head: list[bytes]) -> np.ndarray:
-    """Group of each two-byte ending: endings that follow the same frequent words
-    stand together (k-means on square-rooted shares, from GROUP_SAMPLE texts)."""
+def _ending_counts(docs: DataFrame, head: list[bytes]) -> np.ndarray:
+    """How often each two-byte ending follows each single word, counted over all
+    texts; the last single word before it in the text counts. A task holds one
+    table of 65,536 x SINGLE counts, and so does the driver."""
     single = {w: k for k, w in enumerate(head[:SINGLE])}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(single)
+    cells = (1 << 16) * SINGLE
+    names = ["k", "n"]
 
     def run(batches):
-        seen: Counter = Counter()
+        total = np.zeros(cells, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                near = None
-                for w in tokens_of(raw):
-                    k = shared.value.get(w)
-                    if k is not None:
-                        near = k
-                    elif near is not None:
-                        seen[_ending(w) * SINGLE + near] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["k", "n"])
-
-    n = docs.count()
-    part = max(1, n // GROUP_SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("groups")), F.lit(part)) == 0)
-    rows = some.select(as_bytes("text").alias("raw")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    m = np.zeros((1 << 16, SINGLE))
-    for r in rows:
-        m[r.k // SINGLE, r.k % SINGLE] = r.n
+            for _, texts in _slices(batch, 0):
+                words: list[bytes] = []
+                firsts = []
+                for raw in texts:
+                    firsts.append(len(words))
+                    words += tokens_of(raw)
+                if not words:
+                    continue
+                near = np.fromiter(map(shared.value.get, words, repeat(-1)), np.int64, len(words))
+                lengths = np.fromiter(map(len, words), np.int64, len(words))
+                letters = np.frombuffer(b" ".join(words), np.uint8)
+                stop = np.cumsum(lengths + 1) - 1
+                ending = letters[stop - 1].astype(np.int64)
+                long = lengths > 1
+                ending[long] += letters[stop[long] - 2].astype(np.int64) << 8
+                at = np.arange(len(words))
+                start = np.zeros(len(words), np.int64)
+                firsts = [k for k in firsts if k < len(words)]
+                start[firsts] = firsts
+                last = np.maximum.accumulate(np.where(near >= 0, at, -1))
+                fine = (near < 0) & (last >= np.maximum.accumulate(start))
+                seen, times = np.unique(ending[fine] * SINGLE + near[last[fine]], return_counts=True)
+                total[seen] += times
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=names)
+
+    held = docs.select(as_bytes("text").alias("raw")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros(cells)
+    m[held.column("k").to_numpy()] = held.column("n").to_numpy()
+    return m.reshape(1 << 16, SINGLE)
+
+
+def _ending_groups(docs: DataFrame, head: list[bytes]) -> np.ndarray:
+    """Group of each two-byte ending: endings that follow the same frequent words
+    stand together (k-means on square-rooted shares, counted over all texts)."""
+    m = _ending_counts(docs, head)
     group = np.arange(1 << 16) % GROUPS
     mass = m.sum(axis=1)
     live = np.flatnonzero(mass > 0)
