@@ -1,7 +1,10 @@
 """License scans by a trained paragraph classifier.
 
 Everything on the path of the documents is a SQL expression of the text.
-Paragraphs (lines) that mention a licensing word are cut into word one- and
+A paragraph is a run of lines between blank ones. Notices are often wrapped, and
+a long run can hold more than a notice, so every line and every window of up to
+``WINDOW`` neighbouring lines of a run is judged; of overlapping windows of one
+family the one that holds most of a template counts, the smallest of equals. Those that mention a licensing word are cut into word one- and
 two-grams; a sparse multinomial logistic regression gives each family's
 probability. A family is reported where its probability reaches the calibrated
 threshold and a template of the family confirms it: enough of the template's
@@ -53,6 +56,8 @@ SAMPLE = 3000
 GATE = r"(?i)licen[cs]|copyright|permission|redistribut|all rights reserved|creative commons|public domain|\bcc[- ]?(?:by|0)\b"
 WORD = "[a-z0-9]+(?:[.][0-9]+)*"
 MIN_TEMPLATE = 0.6
+#: Lines that are judged together at most: the longest template takes four, wrapped at 60 columns from anywhere in a line.
+WINDOW = 5
 PRECISION = 0.995
 
 
@@ -159,24 +164,37 @@ def _template_share(held: str, family: str) -> str:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ``licenses``: array<struct<line int, family, probability, template_share>>
-    of the licensing paragraphs; ``unknown`` where no family is sure or confirmed.
+    of the licensing notices, line being the first of a wrapped one; ``unknown``
+    where no family is sure or confirmed, for a line or a run of WINDOW lines at most.
 
     Null and empty texts have none. Rows keep their other columns (one named
     licenses is replaced); repeated paragraphs are reported each."""
     fitted = model()
-    empty = "cast(array() as array<struct<line:int,held:array<string>>>)"
     names = "array(" + ",".join(map(literal, FAMILIES)) + ")"
+    gate = literal(GATE)
+    blank = lambda l: f"not({l} rlike '[^\\\\s]')"
     held = docs.drop("licenses").withColumn("__t", as_text(text))
-    lines = f"filter(transform(split(__t, '\\n'), (l, i) -> named_struct('line', i, 'l', l)), x -> x.l rlike {literal(GATE)})"
-    held = held.withColumn("__p", F.expr(f"if(__t rlike {literal(GATE)}, transform({lines}, x -> named_struct('line', x.line, 'held', {grams_sql('x.l')})), {empty})"))
-    scored = f"transform(__p, x -> named_struct('line', x.line, 'held', x.held, 'p', {fitted.sql('x.held')}))"
+    held = held.withColumn("__l", F.expr(f"if(translate(__t, '\n', ' ') rlike {gate}, split(__t, '\n'), null)"))
+    spans = f"flatten(transform(__l, (l, i) -> transform(sequence(1, least({WINDOW}, size(__l) - i)), n -> named_struct('line', i, 'n', n, 'part', slice(__l, i + 1, n)))))"
+    spans = f"filter({spans}, x -> x.n = 1 or not exists(x.part, l -> {blank('l')}))"
+    spans = f"filter(transform({spans}, x -> named_struct('line', x.line, 'n', x.n, 'l', array_join(x.part, ' '))), x -> x.l rlike {gate})"
+    edge = lambda i: f"coalesce({blank(f'get(__l, {i})')}, true)"
+    held = held.withColumn("__p", F.expr(f"transform({spans}, x -> named_struct('line', x.line, 'n', x.n, 'whole', {edge('x.line - 1')} and {edge('x.line + x.n')}, 'held', {grams_sql('x.l')}))"))
+    scored = f"transform(__p, x -> named_struct('line', x.line, 'n', x.n, 'whole', x.whole, 'held', x.held, 'p', {fitted.sql('x.held')}))"
     held = held.withColumn("__q", F.expr(f"if(size(__p) = 0, null, {scored})"))
-    best = f"transform(filter(__q, x -> x.p[0] < 0.5), x -> named_struct('line', x.line, 'held', x.held, 'family', {names}[int(array_position(slice(x.p, 3, {len(FAMILIES) - 2}), array_max(slice(x.p, 3, {len(FAMILIES) - 2}))) + 1)], 'probability', array_max(slice(x.p, 3, {len(FAMILIES) - 2}))))"
+    best = f"transform(filter(__q, x -> x.p[0] < 0.5), x -> named_struct('line', x.line, 'n', x.n, 'whole', x.whole, 'held', x.held, 'family', {names}[int(array_position(slice(x.p, 3, {len(FAMILIES) - 2}), array_max(slice(x.p, 3, {len(FAMILIES) - 2}))) + 1)], 'probability', array_max(slice(x.p, 3, {len(FAMILIES) - 2}))))"
     held = held.withColumn("__b", F.expr(best))
-    held = held.withColumn("__b", F.expr(f"transform(__b, x -> named_struct('line', x.line, 'family', x.family, 'probability', x.probability, 'template_share', {_template_share('x.held', 'x.family')}))"))
+    held = held.withColumn("__b", F.expr(f"transform(transform(__b, x -> named_struct('x', x, 'share', {_template_share('x.held', 'x.family')})), y -> named_struct('o', -y.share, 'n', y.x.n, 'line', y.x.line, 'whole', y.x.whole, 'family', y.x.family, 'probability', y.x.probability, 'template_share', y.share))"))
     sure = f"x.probability >= {fitted.least}D and x.template_share >= {MIN_TEMPLATE}D"
-    out = f"transform(__b, x -> named_struct('line', x.line, 'family', if({sure}, x.family, 'unknown'), 'probability', x.probability, 'template_share', x.template_share))"
-    return held.withColumn("licenses", F.expr(f"coalesce({out}, cast(array() as array<struct<line:int,family:string,probability:double,template_share:double>>))")).drop("__t", "__p", "__q", "__b")
+    kind = "array<struct<o:double,n:int,line:int,whole:boolean,family:string,probability:double,template_share:double>>"
+    over = "o.line < x.line + x.n and x.line < o.line + o.n"
+    # by falling share, then the smallest; one that overlaps a taken one of its family is left
+    held = held.withColumn("__s", F.expr(f"aggregate(array_sort(filter(__b, x -> {sure})), cast(array() as {kind}), (a, x) -> if(exists(a, o -> o.family = x.family and {over}), a, concat(a, array(x))))"))
+    other = f"array_sort(filter(__b, x -> (x.n = 1 or x.whole) and not({sure}) and not exists(__s, o -> {over})))"
+    held = held.withColumn("__u", F.expr(f"aggregate({other}, cast(array() as {kind}), (a, x) -> if(exists(a, o -> {over}), a, concat(a, array(x))))"))
+    row = lambda family: f"x -> named_struct('line', x.line, 'family', {family}, 'probability', x.probability, 'template_share', x.template_share)"
+    out = f"array_sort(concat(transform(__s, {row('x.family')}), transform(__u, {row(literal('unknown'))})))"
+    return held.withColumn("licenses", F.expr(f"coalesce({out}, cast(array() as array<struct<line:int,family:string,probability:double,template_share:double>>))")).drop("__t", "__l", "__p", "__q", "__b", "__s", "__u")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
