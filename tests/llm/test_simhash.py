@@ -9,7 +9,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from textscope.llm import components, simhash
+from textscope.llm.common import hub_join
 
 from .samples import EDGES, docs_of, edge_docs, prose
 
@@ -98,6 +101,25 @@ def test_links_connect_what_is_near(spark, hot_rows):
     assert not set(alone) & set(got)
 
 
+def test_a_dense_group_is_linked_without_its_square():
+    """Linked pairs fall away: the leaf pairs looked at stay far below n * n / 2."""
+    r = np.random.default_rng(6)
+    flips = r.integers(0, 64, (20_000, 2)).astype(np.uint64)
+    v = np.unique(np.uint64(0x1234567890ABCDEF) ^ (np.uint64(1) << flips[:, 0]) ^ (np.uint64(1) << flips[:, 1]) ^ (r.integers(0, 256, 20_000).astype(np.uint64) << np.uint64(56)))
+    groups, seen = simhash.Groups(len(v)), 0
+    for i, j in simhash.trie_pairs(v, np.array([0]), np.array([len(v)]), 64, 4, groups):
+        seen += len(i)
+        groups.join(i, j)
+    assert (groups.root == 0).all() and seen < len(v) ** 2 / 20
+    assert (simhash._stars(v, np.array([0]), np.array([len(v)]), 64, 4) == 0).all()
+
+
+def test_hubs_give_the_same_join(spark):
+    rows = spark.createDataFrame([(1, k) for k in range(700)] + [(k, k) for k in range(2, 400)], "u long, v long")
+    values = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, hub_join(rows, values, "u", "n", rows.count()).collect())) == sorted((u, v, 0 if u == 1 else v) for u, v in map(tuple, rows.collect()))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components.components(links).collect()}
@@ -113,8 +135,4 @@ def test_edges(spark):
     docs = edge_docs(spark)
     got = simhash.near_duplicates(docs).collect()
     assert {(r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in got} == brute_components(EDGES)
-    kept = simhash.keep_one_each(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(4) == 1 and ids.count(None) == 2 and 2 not in ids and 1 in ids
     assert simhash.near_duplicates(docs.limit(0)).count() == 0

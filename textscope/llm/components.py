@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars.
 
 Every step is a grouped minimum (combined before the shuffle) and an
-equi-join; links never reach the driver. Each round's links are written to the
-shared folder, so lineage stays one round deep.
+equi-join; links never reach the driver. A node with very many links isn't one
+task's: its minimum is broadcast with those of the few like it. Each round's
+links are written to the shared folder, so lineage stays one round deep.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, hub_join, stored
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return hub_join(both, low, "u", "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = hub_join(down, low, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -32,7 +33,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns (node, root): each node that has a link to another node, with the
     smallest node of its component. Empty links: empty result. Raises if
     max_rounds do not settle it (rounds grow with the logarithm of the size)."""
-    now = materialize(links.where("u <> v").select("u", "v").distinct(), "links")
+    spark = links.sparkSession
+    now, path = stored(links.where("u <> v").select("u", "v").distinct(), "links")
     was = None
     for _ in range(max_rounds):
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -40,6 +42,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root"))
             ).distinct()
-        was = mark
-        now = materialize(_small_star(_large_star(now)), "links")
+        was, old = mark, path
+        now, path = stored(_small_star(_large_star(now, mark[0]), mark[0]), "links")
+        discard(spark, old)
     raise RuntimeError("components did not settle")

@@ -8,13 +8,13 @@ fingerprints only.
 The trie is cut into independent subtrees. The 64 bits are split into
 ``BLOCKS`` blocks; two fingerprints within ``max_bits`` agree on at least
 ``BLOCKS - max_bits`` of them. For every choice of that many blocks the bits
-are reordered so that those come first: there the error budget is zero, hence
-only leaves below the same node at that depth can match, and that node is the
-unit of work dealt out to the cluster. Below it, node pairs are walked
-together bit by bit, the differing bits are accumulated, and a pair whose
-count exceeds the budget is dropped with all its leaves. A subtree that holds
-more than ``HOT_ROWS`` fingerprints is cut again the same way on its remaining
-bits.
+come first: there the error budget is zero, hence only leaves that agree on
+them can match, and those leaves are the unit of work dealt out to the cluster.
+In it, node pairs of the trie are walked together bit by bit, the differing
+bits are accumulated, and a pair whose count exceeds the budget is dropped with
+all its leaves. So is a pair whose leaves are all linked already, which keeps a
+dense group of near copies from costing its square. A unit that holds more than
+``HOT_ROWS`` fingerprints is cut again the same way on its remaining bits.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, small_batches, table
+from .common import as_bytes, hub_join, materialize, small_batches, table
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -111,7 +111,7 @@ def _blocks(width: int, parts: int) -> list[tuple[int, int]]:
 
 
 def _orders(max_bits: int) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
-    """(leading blocks, other blocks) as bit ranges, one entry per bit order."""
+    """(leading blocks, other blocks) as bit ranges, one entry per choice."""
     blocks = _blocks(64, max(BLOCKS, max_bits + 1))
     lead = len(blocks) - max_bits
     return [([blocks[i] for i in some], [b for i, b in enumerate(blocks) if i not in some]) for some in combinations(range(len(blocks)), lead)]
@@ -126,6 +126,43 @@ def _gather(fp: Column, ranges: list[tuple[int, int]]) -> Column:
     return out
 
 
+class Groups:
+    """Positions 0..n-1 and the groups they are linked to; a group is named by its
+    smallest position. ``root`` may start with groups known already."""
+
+    def __init__(self, n: int, root: np.ndarray | None = None):
+        self.root = np.arange(n) if root is None else root
+        self._seam: np.ndarray | None = None
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Link the pairs; returns which of them, earlier ones first, linked two
+        groups: a forest, thus fewer than there are positions."""
+        used = []
+        at = np.arange(len(i))
+        while True:
+            a, b = self.root[i[at]], self.root[j[at]]
+            apart = a != b
+            if not apart.any():
+                return np.concatenate(used) if used else np.zeros(0, np.int64)
+            at, a, b = at[apart], a[apart], b[apart]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            self.root[high] = np.minimum(a, b)[first]
+            used.append(at[first])
+            self._seam = None
+            while True:
+                up = self.root[self.root]
+                if (up == self.root).all():
+                    break
+                self.root = up
+
+    def linked(self, lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
+        """Whether all positions of two ranges are of one group."""
+        if self._seam is None:
+            self._seam = np.concatenate([[0], np.cumsum(self.root[1:] != self.root[:-1])])
+        seam, root = self._seam, self.root
+        return (seam[hi_a - 1] == seam[lo_a]) & (seam[hi_b - 1] == seam[lo_b]) & (root[lo_a] == root[lo_b])
+
+
 def _pairs_in(lo_a, hi_a, lo_b, hi_b, same):
     """All leaf index pairs of the node pairs; within one node, each pair once."""
     na, nb = hi_a - lo_a, hi_b - lo_b
@@ -137,10 +174,11 @@ def _pairs_in(lo_a, hi_a, lo_b, hi_b, same):
     return i[fine], j[fine]
 
 
-def trie_pairs(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, depth: int, max_bits: int):
+def trie_pairs(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, depth: int, max_bits: int, groups: Groups | None = None):
     """Yield arrays (i, j), i < j, of positions whose values differ in at most
     max_bits bits, within each range [start, stop) of ``values`` (uint64,
-    ascending in each range, using the low ``depth`` bits)."""
+    ascending in each range, using the low ``depth`` bits). With ``groups``, which
+    the caller extends as pairs come, pairs of one group may be left out."""
     keep = stops - starts > 1
     first = (starts[keep], stops[keep], starts[keep], stops[keep], np.zeros(keep.sum(), np.int64), np.ones(keep.sum(), bool))
     zeros: dict[int, np.ndarray] = {}
@@ -151,8 +189,12 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, depth:
             half = len(nodes[0]) // 2
             stack += [(level, tuple(x[half:] for x in nodes)), (level, tuple(x[:half] for x in nodes))]
             continue
+        if groups is not None and len(nodes[0]):
+            open_ = ~groups.linked(*nodes[:4])
+            nodes = tuple(x[open_] for x in nodes)
         lo_a, hi_a, lo_b, hi_b, bits, same = nodes
         work = (hi_a - lo_a) * (hi_b - lo_b)
+        # equal values never part: their node is compared leaf by leaf, however wide
         ready = (work <= LEAF_PAIRS) | (level == 0)
         if ready.any():
             todo = [x[ready] for x in (lo_a, hi_a, lo_b, hi_b, same)]
@@ -188,76 +230,85 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, depth:
 
 def _stars(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, depth: int, max_bits: int) -> np.ndarray:
     """The smallest position reachable by links from each position."""
-    root = np.arange(len(values))
-    for i, j in trie_pairs(values, starts, stops, depth, max_bits):
-        while True:
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
-                break
-            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-            np.minimum.at(root, high, low)
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-    return root
-
-
-def _link_slabs(batches, depth: int, max_bits: int):
-    """Batches (key, rest, fp) sorted by (key, rest) -> links (u, v) in slabs that
-    end at a key's end; rest uses its low ``depth`` bits."""
+    groups = Groups(len(values))
+    at = np.arange(len(values) - 1)
+    # neighbours first: they link most of a dense group, and its node pairs fall away
+    near = np.bitwise_count(values[1:] ^ values[:-1]) <= max_bits
+    near[stops[:-1] - 1] = False
+    groups.join(at[near], at[near] + 1)
+    for i, j in trie_pairs(values, starts, stops, depth, max_bits, groups):
+        groups.join(i, j)
+    return groups.root
+
+
+def _slabs(batches, width: int, keys: int, room: int = 1 << 17):
+    """Batches of long columns, sorted by the first ``keys`` of them -> (data, starts,
+    stops): matrices of about ``room`` rows that end where a key does."""
     held: list[np.ndarray] = []
     rows = 0
 
-    def links(data: np.ndarray):
-        edge = np.flatnonzero(np.diff(data[0])) + 1
-        starts, stops = np.concatenate([[0], edge]), np.concatenate([edge, [data.shape[1]]])
-        root = _stars(data[1].view(np.uint64), starts, stops, depth, max_bits)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(data[2][moved]), pa.array(data[2][root[moved]])], names=["u", "v"])
+    def ready(data: np.ndarray):
+        edge = np.flatnonzero((data[:keys, 1:] != data[:keys, :-1]).any(axis=0)) + 1
+        return data, np.concatenate([[0], edge]), np.concatenate([edge, [data.shape[1]]])
 
     for batch in batches:
-        now = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]).astype(np.int64)
+        now = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]).astype(np.int64)
         if not now.shape[1]:
             continue
         held.append(now)
         rows += now.shape[1]
-        if rows >= 1 << 17:
+        if rows >= room:
             data = np.concatenate(held, axis=1)
-            cut = int(np.searchsorted(data[0], data[0][-1]))
+            cut = int(np.flatnonzero((data[:keys] == data[:keys, -1:]).all(axis=0))[0])
             held, rows = [data[:, cut:]], data.shape[1] - cut
             if cut:
-                yield links(data[:, :cut])
+                yield ready(data[:, :cut])
     if rows:
-        yield links(np.concatenate(held, axis=1))
+        yield ready(np.concatenate(held, axis=1))
+
+
+def _link_slabs(batches, max_bits: int):
+    """Batches (unit, lead, part, fp) sorted by all four -> links (u, v)."""
+    for data, starts, stops in _slabs(batches, 4, 3):
+        values = data[3].view(np.uint64)
+        # long order puts the upper half first: ascending within a unit needs a sort by value
+        order = np.lexsort((values, np.repeat(np.arange(len(starts)), stops - starts)))
+        values = values[order]
+        root = _stars(values, starts, stops, 64, max_bits)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        fp = values.view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[root[moved]])], names=["u", "v"])
 
 
-def _recut(hot: DataFrame, max_bits: int) -> DataFrame:
-    """Deal a hot node's fingerprints out to the nodes below it: of max_bits + 1
-    blocks of the other bits, two linked fingerprints share at least one."""
-    parts = _blocks(48, max_bits + 1)
-    finer = F.explode(F.array(*[F.xxhash64("key", F.lit(k), _gather(F.col("rest"), [(lo, hi if hi < 48 else 63)])) for k, (lo, hi) in enumerate(parts)]))
-    return hot.select(finer.alias("key"), "rest", "fp")
+def _recut(hot: DataFrame, orders, max_bits: int) -> DataFrame:
+    """Deal a hot unit's fingerprints out again: of max_bits + 1 parts of the bits
+    that don't lead, two linked fingerprints share at least one."""
+    made = []
+    for _, rest in orders:
+        bits = [b for lo, hi in rest for b in range(lo, hi)]
+        parts = [[(b, b + 1) for b in bits[lo:hi]] for lo, hi in _blocks(len(bits), max_bits + 1)]
+        made.append(F.array(*[F.struct(F.lit(k + 1).alias("k"), _gather(F.col("fp"), p).alias("bits")) for k, p in enumerate(parts)]))
+    cells = F.element_at(F.array(*made), F.col("unit") + 1) if len(made) > 1 else made[0]
+    flat = hot.select("unit", "lead", "fp", F.explode(cells).alias("cell"))
+    return flat.select((F.col("unit") + F.lit(len(orders)) * F.col("cell.k")).alias("unit"), "lead", F.col("cell.bits").alias("part"), "fp")
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """fps: (fp long, distinct). Links (u, v) that connect exactly the
     fingerprints connected by chains of pairs at most max_bits apart; a spanning
-    star per trie subtree rather than every pair. Empty: empty."""
+    star per unit rather than every pair. Empty: empty."""
     orders = _orders(max_bits)
-    cells = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(k), _gather(F.col("fp"), lead)).alias("key"), _gather(F.col("fp"), rest).alias("rest")) for k, (lead, rest) in enumerate(orders)]))
-    keyed = fps.select("fp", cells.alias("cell")).select("cell.key", "cell.rest", "fp")
-    hot = keyed.groupBy("key").count().where(F.col("count") > hot_rows).select("key")
-    if hot.limit(1).count():
-        hot = materialize(hot, "hot-nodes")
-        keyed = keyed.join(hot, "key", "left_anti").unionByName(_recut(keyed.join(hot, "key", "left_semi"), max_bits))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("unit"), _gather(F.col("fp"), lead).alias("lead")) for k, (lead, _) in enumerate(orders)]))
+    keyed = fps.select("fp", cells.alias("cell")).select("cell.unit", "cell.lead", F.lit(0).cast("long").alias("part"), "fp")
+    hot = keyed.groupBy("unit", "lead").count().where(F.col("count") > hot_rows).select("unit", "lead")
+    if max_bits and hot.limit(1).count():
+        hot = materialize(hot, "hot-units")
+        again = _recut(keyed.join(hot, ["unit", "lead"], "left_semi"), orders, max_bits)
+        keyed = keyed.join(hot, ["unit", "lead"], "left_anti").select("unit", "lead", "part", "fp").unionByName(again)
     spark = fps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", "rest")
-    depth = max(sum(hi - lo for lo, hi in rest) for _, rest in orders)
-    return dealt.mapInArrow(lambda batches: _link_slabs(batches, depth, max_bits), "u long, v long")
+    count = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = keyed.repartition(count, "unit", "lead", "part").sortWithinPartitions("unit", "lead", "part")
+    return dealt.mapInArrow(lambda batches: _link_slabs(batches, max_bits), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -268,21 +319,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are returned as often as given. A null doc_id is returned but never names a
     component while another id is there. Other columns are ignored. Empty: empty."""
     marked = materialize(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words).select("doc_id", "fp"), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = components(fingerprint_links(fps.select("fp"), max_bits))
-    rooted = fps.join(found, fps.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those whose class has a smaller doc_id; of rows
-    that repeat that id, one stays. Rows with a null doc_id stay."""
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found, docs.doc_id == found["__kept"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    rooted = materialize(fps.join(found, fps.fp == found.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    rows, distinct = rooted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    named = materialize(hub_join(rooted.select("fp", "root", "n"), lows, "root", "fps", distinct), "named")
+    return hub_join(marked, named.select("fp", "component_id", "n"), "fp", "n", rows).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
