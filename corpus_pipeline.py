@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textscope.llm import decontaminate, packing, secrets, simhash, toxicity
+from textscope.llm import decontaminate, near_copies, packing, secrets, toxicity
 from textscope.llm.common import materialize, table
 
 
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each class of near copies."""
-    return simhash.keep_one_each(docs)
+    """One row of each class of texts with a five-word similarity of 0.8 or more."""
+    return near_copies.keep_one_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
