@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from textscope.llm import decontaminate as d
@@ -15,8 +16,9 @@ def brute(docs, items):
     for i, text in docs:
         own = d.shingles(words_of((text or "").encode()))
         for j, item in items:
-            want = d.shingles(words_of(item.encode()))
-            if want and len(words_of(item.encode())) >= 5 and len(want & own) >= 0.8 * len(want):
+            parts = [words_of(x.encode()) for x in d.question_and_answer(item)]
+            some = [words_of(item.encode()), *(parts if min(map(len, parts)) >= 8 else [])]
+            if any(len(p) >= 5 and len(d.shingles(p) & own) >= 0.8 * len(d.shingles(p)) for p in some):
                 out.add((i, j))
     return out
 
@@ -34,6 +36,8 @@ def sample():
             leak = leak[: len(leak) // 2]
         at = r.randrange(len(words))
         docs.append((200 + k, " ".join(words[:at] + leak + words[at:])))
+    for k in range(30, 60):  # the question alone, or the answer alone
+        docs.append((200 + k, f"{prose(r, 60)} {d.question_and_answer(items[k][1])[k % 2]} {prose(r, 60)}"))
     return docs, items
 
 
@@ -54,16 +58,36 @@ def test_wand_finds_all_above_the_threshold():
     index = d.Index(items, len(items), 28.0, df)
     for _, text in docs:
         terms = sorted({t for w in words_of(text.encode()) if (t := index.vocabulary.get(w)) is not None})
-        for b in index.blocks:
-            block = b // d.BLOCK_ITEMS
-            got = dict(index.wand(block, terms))
+        for block in range(index.blocks):
+            got = dict(index.wand(block, np.array(terms, np.int64)))
             score = {}
             for t in terms:
-                for item, w in index.postings[block].get(t, []):
+                for item, w in index.posting(block, t):
                     score[item] = score.get(item, 0) + w
             assert set(got) == {k for k, s in score.items() if s >= d.MIN_SCORE - 1e-6}
 
 
+def test_question_or_answer_alone_is_a_leak():
+    q, a = "what is the tallest tower in the old town", "it is the bell tower built of red stone by the river"
+    item = f"{q.capitalize()}? {a.capitalize()}."
+    index = d.Index([(1, item)], 1, 21.0, {})
+    assert [h["item_id"] for h in index.search(f"they asked {q} and left".encode())] == [1]
+    assert [h["item_id"] for h in index.search(f"so {a} they said".encode())] == [1]
+    assert index.search(b"it is the bell tower of what town") == []
+    short = d.Index([(1, "What is the tallest tower in the old town? The bell tower.")], 1, 12.0, {})
+    assert short.search(b"the bell tower") == []
+
+
+def test_a_large_benchmark_stays_small_in_memory():
+    """20,000 items: arrays of what occurs, no terms-by-blocks matrix."""
+    r = random.Random(5)
+    items = [(k, prose(r, 40)) for k in range(20_000)]
+    index = d.Index(items, len(items), 40.0, {})
+    held = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+    assert held < 100 << 20
+    assert [h["item_id"] for h in index.search(items[77][1].encode())] == [77]
+
+
 def test_question_and_answer():
     assert d.question_and_answer("What is it? It is this.") == ("What is it?", "It is this.")
     assert d.question_and_answer("One sentence") == ("One sentence", "")
