@@ -28,7 +28,12 @@ EM_ROUNDS = 100
 KEEP_FROM = 0.5
 #: Shares of a rule's votes on good (1) and bad (0) texts, before any is seen.
 START = {1: {"g": 0.93, "b": 0.005, "-": 0.065}, 0: {"g": 0.72, "b": 0.18, "-": 0.10}}
-PRIOR_WEIGHT = 0.5
+#: Texts of each class that the shares of ``START`` count for, whatever the corpus: beside a
+#: large one they fade.
+PRIOR_TEXTS = 600
+
+#: A symbol three times in a row.
+RUN = r"([#*$%&|<>])\1\1"
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -49,7 +54,7 @@ def _repeat_words(words: str) -> str:
     short = f"""element_at(transform(array(array_sort(transform({windows}, i -> ((shiftright({hashed}, 1) & (-1L ^ {mask})) | i)))),
       k -> transform(filter(k, (x, j) -> (j > 0 and {near('j - 1')}) or (j < size(k) - 1 and {near('j + 1')})), x -> int(x & {mask}))), 1)"""
     long = f"""element_at(transform(array(array_sort(transform({windows}, i -> named_struct('h', {hashed}, 'i', i)))),
-      k -> transform(filter(k, (x, j) -> (j > 0 and x.h = k[j - 1].h) or (j < size(k) - 1 and x.h = k[j + 1].h)), x -> x.i)), 1)"""
+      k -> transform(filter(k, (x, j) -> (j > 0 and x.h = k[j - 1].h and {same('x.i', 'k[j - 1].i')}) or (j < size(k) - 1 and x.h = k[j + 1].h and {same('x.i', 'k[j + 1].i')})), x -> x.i)), 1)"""
     covered = """element_at(transform(array(array_sort({places})), p -> bigint(aggregate(sequence(0, size(p) - 1), 0,
       (a, j) -> a + if(j = size(p) - 1, 3, least(3, p[j + 1] - p[j]))))), 1)"""
     return f"""case when {n} < 4 then 0L else element_at(transform(array(if({n} < {SHORT}, {short}, {long})),
@@ -58,10 +63,10 @@ def _repeat_words(words: str) -> str:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
-    (long), n_upper, n_bars, n_ends (long) and base_failed.
+    (long), n_upper, n_bars, n_ends, n_runs (long) and base_failed.
 
     Null text: no word. Columns of docs with these names are replaced."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bars", "n_ends", "base_failed"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bars", "n_ends", "n_runs", "base_failed"]
     held = docs.drop(*made).withColumn("__t", as_text(text))
     held = held.withColumn("__w", F.expr(f"filter(split(__t, {literal(_SPACE)}), w -> w <> '')"))
     held = held.withColumn("__l", F.expr(f"filter(split(__t, '\\n'), l -> l rlike {literal('[^\\x20\\x09-\\x0D]')})"))
@@ -78,6 +83,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_ends": F.expr(size_("__t") + " - " + size_("translate(__t, '.?', '')")),
         }
     )
+    held = held.withColumn("n_runs", F.expr(f"if(n_symbols < 3, 0L, bigint(regexp_count(__t, {literal(RUN)})))"))
     return held.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words")).drop("__t", "__w", "__l")
 
 
@@ -86,7 +92,7 @@ RULES = {
     "length": ("n_words >= 80", "n_words < 50"),
     "repeats": ("10 * n_repeat_words <= 3 * n_words", "2 * n_repeat_words > n_words"),
     "symbols": ("50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    "noise": ("100 * n_symbols <= word_chars", "12 * n_symbols > word_chars"),
+    "runs": ("n_runs = 0", "20 * n_runs > n_words"),
     "lines": ("n_dup_lines = 0", "n_dup_lines >= 3"),
     "capitals": ("5 * n_upper <= word_chars", "2 * n_upper > word_chars"),
     "marks": ("50 * n_bars <= n_words", "5 * n_bars > n_words"),
@@ -104,9 +110,9 @@ def posteriors(patterns: dict[str, int], prior: float = PRIOR_GOOD, rounds: int
     """P(good | votes) of each pattern, by expectation-maximisation on counts.
 
     Every rule has, for each class, the shares of its three votes; rules are
-    independent given the class. The shares of ``START`` both begin the rounds and
-    weigh in each round as ``PRIOR_WEIGHT`` of the texts, so that a rule which
-    hardly ever condemns a good text keeps that meaning on any corpus."""
+    independent given the class. The shares of ``START`` begin the rounds and count
+    for ``PRIOR_TEXTS`` texts of each class in each of them, so that votes never
+    seen keep a share; on all but small corpora the texts decide."""
     rules = len(next(iter(patterns), ""))
     share = {c: [dict(START[c]) for _ in range(rules)] for c in (1, 0)}
     good = prior
@@ -119,11 +125,10 @@ def posteriors(patterns: dict[str, int], prior: float = PRIOR_GOOD, rounds: int
         weight = {c: sum(n * (out[p] if c else 1 - out[p]) for p, n in patterns.items()) for c in (1, 0)}
         good = min(0.999, max(0.001, (weight[1] + 1) / (total + 2)))
         for c in (1, 0):
-            held = PRIOR_WEIGHT * total * (good if c else 1 - good) + 1
             for k in range(rules):
                 for v in "gb-":
                     own = sum(n * (out[p] if c else 1 - out[p]) for p, n in patterns.items() if p[k] == v)
-                    share[c][k][v] = (own + held * START[c][v]) / (weight[c] + held)
+                    share[c][k][v] = (own + PRIOR_TEXTS * START[c][v]) / (weight[c] + PRIOR_TEXTS)
     return out
 
 
