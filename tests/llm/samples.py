@@ -18,7 +18,7 @@ EDGES = [
     (1, None), (2, ""), (3, "   \n\t "), (4, "word"), (4, "word"), (None, "no id here"), (None, None), (5, "é" * 3000 + " 日本語  x"), (6, "7" * 20_000 + "a" * 20_000),
     (7, "token = abc123def456 mail me@host.example.org +1 (974) 555-3436 10.0.0.1"), (8, "x y " * 3000), (9, "a\x00b \x1c c\r\nd"),
 ]
-CLASHES = ["base", "spans", "fp", "component_id", "hits", "toxic", "severity", "p_toxic", "grade", "score", "predicted", "quality", "votes", "kept", "row", "grp", "word", "c", "length", "piece", "licenses", "n_words", "text_", "u", "v", "key"]
+CLASHES = ["base", "spans", "fp", "component_id", "hits", "toxic", "severity", "p_toxic", "grade", "score", "predicted", "quality", "votes", "kept", "row", "grp", "word", "c", "length", "piece", "licenses", "n_words", "text_", "u", "v", "key", "form", "good", "places", "id", "normal", "label", "n_runs", "__none"]
 
 
 def edge_docs(spark, rows=EDGES):

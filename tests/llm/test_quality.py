@@ -47,6 +47,15 @@ def test_rules_keep_prose_and_drop_junk(spark):
     assert got[900].base_failed and not got[900].kept
 
 
+def test_accuracies_are_learned_from_the_corpus():
+    """The start shares fade: on a large corpus a rule that condemns at random
+    loses its say, whatever they are; on a small one they hold."""
+    rules = {"gg": 700_000, "gb": 70_000, "bb": 20_000, "bg": 2_000}
+    found = quality_rules.posteriors({k + x: n // 2 for k, n in rules.items() for x in "gb"})
+    assert abs(found["ggg"] - found["ggb"]) < 0.05 and found["bbg"] < 0.1 and found["bbb"] < 0.1
+    assert quality_rules.posteriors({"ggg": 3, "bbb": 2})["bbb"] < 0.5
+
+
 def test_posteriors_learn_from_agreement():
     found = quality_rules.posteriors({"ggg": 900, "bbb": 80, "-bb": 10, "g--": 10})
     assert found["ggg"] > 0.9 > 0.1 > found["bbb"] and found["-bb"] < 0.5 < found["g--"]
@@ -90,6 +99,36 @@ def test_classifier_never_sees_the_held_out_fold(spark):
     assert np.allclose(a.weights, b.weights) and a.bias == b.bias
 
 
+def test_prior_comes_from_positive_and_unlabelled_scores():
+    r = np.random.default_rng(5)
+    hist = lambda x: np.bincount(np.clip((x * 1000).astype(int), 0, 999), minlength=1000).astype(float)
+    good, bad = (lambda n: r.beta(6, 2, n)), (lambda n: r.beta(2, 6, n))
+    for share in (0.3, 0.8):
+        n = 20_000
+        mixed = np.concatenate([good(int(n * share)), bad(n - int(n * share))])
+        assert abs(quality_classifier.prior_of(hist(good(5_000)), hist(mixed)) - share) < 0.06
+
+
+def test_repeated_labels_have_a_defined_result(spark):
+    rows, labels = labelled(random.Random(7), 120)
+    docs = docs_of(spark, rows)
+    kind = "doc_id long, quality int, toxic int"
+    doubled = labels + [(k, 1, 0) for k, q, _ in labels if q == 0] + [(k, 1, 1) for k, _, _ in labels[:30]]
+    a, b = (quality_classifier.train(docs, spark.createDataFrame(x, kind)) for x in (labels, doubled))
+    assert np.allclose(a.weights, b.weights)
+    a, b = (toxicity.train(docs, spark.createDataFrame(x, kind)) for x in (doubled, [(k, 1, int(k in {i for i, _, _ in labels[:30]})) for k, _, _ in labels]))
+    assert a.weights == b.weights and a.theta == b.theta
+
+
+def test_grades_are_thirds_of_cross_fitted_odds():
+    r = random.Random(3)
+    rows = [(int(k % 3 == 0), {0: float(r.randint(1, 9)), 1: 1.0} if k % 3 == 0 else {1: 1.0}) for k in range(300)]
+    found = toxicity.graded(rows, 2)
+    assert all((g > 0) == (y == 1) for (g, _), (y, _) in zip(found, rows))
+    by = {g: [x[0] for h, x in found if h == g] for g in (1, 2, 3)}
+    assert max(by[1]) <= min(by[2]) + 1 and max(by[2]) <= min(by[3]) + 1 and all(len(v) >= 20 for v in by.values())
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 1), (2, None, None), (None, 1, 1), (4, 0, 0)]])
 def test_model_edges(spark, labels):
     docs = edge_docs(spark)

@@ -1,8 +1,10 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
-Severity has ordered grades: 0 for texts labelled clean, 1 to 3 for toxic ones
-by how many of the sample's telling words they hold. One weight per word is
-shared by all grades, ordered thresholds part them:
+Severity has ordered grades: 0 for texts labelled clean, and 1 to 3 for toxic
+ones by how clearly others tell them to be toxic: the labelled sample is dealt
+into ``FOLDS`` folds, each text gets the log odds of a model fitted on the other
+folds, and the toxic texts' thirds by those odds are the grades. One weight per
+word is shared by all grades, ordered thresholds part them:
 P(grade > k) = sigmoid(weights . x - theta_k), and the expected severity is the
 sum of those. Features are log word counts of the ``FEATURES`` words that part
 the labelled sample best, counted on the cluster.
@@ -25,8 +27,9 @@ from .common import as_bytes, materialize, sampled, small_batches, table, words_
 SAMPLE = 24_000
 FEATURES = 384
 GRADES = 4
-#: Telling words: log odds from which, and texts in which at least.
-TELLING_ODDS, TELLING_TEXTS = 3.0, 3
+FOLDS = 2
+#: Log odds from which a word enters at its full weight.
+TELLING_ODDS = 3.0
 REJECT_FROM = 0.5
 
 
@@ -81,10 +84,25 @@ def fit_ordinal(rows: list[tuple[int, dict[int, float]]], width: int, grades: in
     return p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
 
 
+def graded(rows: list[tuple[int, dict[int, float]]], width: int, folds: int = FOLDS, grades: int = GRADES) -> list[tuple[int, dict[int, float]]]:
+    """rows (toxic, features) as (grade, features): toxic ones in equal parts by the
+    log odds that models of the other folds give them; equal odds, equal grades."""
+    odds = np.zeros(len(rows))
+    for k in range(folds):
+        rest = [r for i, r in enumerate(rows) if i % folds != k]
+        w, theta = fit_ordinal(rest, width, grades=2)
+        for i in range(k, len(rows), folds):
+            odds[i] = sum(w[c] * v for c, v in rows[i][1].items()) - theta[0]
+    toxic = np.array([y for y, _ in rows]) == 1
+    cuts = np.quantile(odds[toxic], np.arange(1, grades - 1) / (grades - 1))
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, odds, side="left"), 0)
+    return [(int(g), x) for g, (_, x) in zip(grade, rows)]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Ordinal:
     """Fit on texts whose label is 0 or 1, ``sample`` at most; none, or no toxic
-    one: a model that finds nothing."""
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)").dropDuplicates(["__id"])
+    one: a model that finds nothing. Of several labels of an id the highest counts."""
+    known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     some = sampled(known, "__id", sample)
     texts = docs.select("doc_id", "text").where("text is not null").join(some, F.col("doc_id") == F.col("__id"))
     held = materialize(_word_sets(texts), "toxic-words")
@@ -99,7 +117,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     place = {r.word: k for k, r in enumerate(chosen)}
     # words that hardly part the sample enter small, so that the penalty holds them down
     trust = {r.word: min(1.0, abs(r.odds) / TELLING_ODDS) ** 2 for r in chosen}
-    telling = {r.word for r in chosen if r.odds >= TELLING_ODDS and r.a >= TELLING_TEXTS}
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(set(place))
 
@@ -110,10 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     rows = []
     for r in held.mapInArrow(run, held.schema).toLocalIterator():
-        hits = sum(n for w, n in r.counts.items() if w in telling)
-        grade = 0 if not r.toxic else 1 if hits <= 2 else 2 if hits <= 5 else 3
-        rows.append((grade, {place[w]: trust[w] * math.log2(1 + n) for w, n in r.counts.items()}))
-    w, theta = fit_ordinal(rows, len(place))
+        rows.append((r.toxic, {place[w]: trust[w] * math.log2(1 + n) for w, n in r.counts.items()}))
+    rows.sort(key=lambda x: (x[0], sorted(x[1].items())))  # partitions come in any order
+    w, theta = fit_ordinal(graded(rows, len(place)), len(place))
     return Ordinal({word.encode(): float(w[k]) * trust[word] for word, k in place.items()}, theta.tolist())
 
 
