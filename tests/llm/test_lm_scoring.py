@@ -42,22 +42,29 @@ def test_base_equals_brute_force_and_the_model_beats_it(spark, monkeypatch, head
 
 
 def test_probabilities_sum_to_one(spark):
+    """Over all known words and one unknown word a class, after some histories."""
     r = random.Random(10)
-    docs = docs_of(spark, [(k, prose(r, 40)) for k in range(60)])
+    docs = docs_of(spark, [(k, prose(r, 40)) for k in range(200)])
     model, counts, n, v = lm.train(docs)
-    texts = [b"er on the last", b"", b"unseen words stand here"]
-    _, _, cls, features, sizes = model.encode(texts)
-    p = model.probabilities(features)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and sizes.tolist() == [5, 1, 5]
-    # within a class: all known words and one part for an unknown one
-    by = Counter()
-    for row in counts.collect():
-        w = bytes(row.word)
-        k = model.rank[w]
-        by[int(model.cls[k])] += row.c + 1
-    for c, total in by.items():
-        want = 10 ** model.log_total[c]
-        assert abs(total + (0 if c < lm.SINGLE else 1) - want) < 1e-6 * want
+    assert any(w.any() for w in model.weights)
+    known = [bytes(row.word) for row in counts.collect()]
+    assert set(known) == set(model.rank) and len(known) == v
+    for history in (b"er on", b"", b"unseen words"):
+        texts = [history + b" " + w if w else history for w in known]
+        t = model.encode(texts)
+        at = np.cumsum(t.sizes) - np.where([bool(w) for w in known], 2, 1)
+        assert [t.words[k] for k in at] == known
+        p = 10 ** (model.log_part(t)[at] + model.log_count[t.rank[at]])
+        # an unknown word of each class takes one part of the last slot
+        first, second = model.probabilities(t)
+        unknown = 0.0
+        for c in range(lm.CLASSES):
+            k = np.flatnonzero(t.cls[at] == c)
+            if len(k):
+                unknown += first[at[k[0]], c] * second[at[k[0]], -1] * 10 ** -model.log_rest[c]
+            else:
+                unknown += first[at[0], c]
+        assert abs(p.sum() + unknown - 1) < 1e-3
 
 
 def test_endings_are_grouped_by_all_texts(spark):

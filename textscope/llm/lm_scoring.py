@@ -1,26 +1,34 @@
 """Language-model scores by a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class). The classes are the
-most frequent words, one each, and groups of word endings; a softmax over the
-classes adds up weights of the previous word, of the word before it (a skip
-feature) and of the hashed pair. P(word | class) is the smoothed share of the
-word among the class's training tokens, with one part kept for unknown words.
+P(word | history) = P(class | history) * P(slot | class, history) * P(word | slot).
+Classes are groups of word endings. The first factor is a softmax over the
+classes that adds up weights of the previous word, of the word before it (a
+skip feature) and of the hashed pair; the second one a softmax over the class's
+``SLOTS`` slots with weights of the same two words, hashed with the class. The
+most frequent words of a class have a slot each. All others share the last one,
+where a word's part is its smoothed unigram share, with one part kept for
+unknown words.
 
 Training counts cover every training text. The weights are learned by
-distributed gradient updates: in each of ``ROUNDS`` rounds the tasks add up the
-gradient over that round's share of the training texts, so that one epoch sees
-each text once; the sums meet on the cluster by blocks of features. Scoring
-runs in numpy batches. Words outside the ``HEAD`` most frequent ones get their
-counts by a join, so what is sent to the workers has a fixed bound.
+distributed gradient updates: in each of ``ROUNDS`` rounds tasks take that
+round's share of the training texts, so that one epoch sees each text once. A
+task updates its own copy of the weights every ``CHUNK`` tokens, with a rate
+that falls by what a feature has seen, and the copies are averaged on the
+cluster, each feature by how often a task has met it. A task takes about
+``TASK_TOKENS`` tokens whatever the corpus. Scoring runs in numpy batches. Words
+outside the ``HEAD`` most frequent ones get their counts by a join, so what is
+sent to the workers has a fixed bound.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, MapType, StructField, StructType
@@ -30,14 +38,21 @@ from .common import as_bytes, bucket_of_id, materialize, small_batches, table
 FOLDS, HELD_OUT = 7, 2
 #: Words sent to the workers with their counts; all others are joined.
 HEAD = 1 << 18
-SINGLE, GROUPS = 40, 24
-CLASSES = SINGLE + GROUPS
-#: Feature rows: own ones of frequent words, endings, and hashed pairs.
+CLASSES, SLOTS = 32, 32
+#: Frequent words by which endings are grouped.
+NEAR = 40
+#: Feature rows: own ones of frequent words, endings, and hashed pairs; and those
+#: hashed with a class, the most frequent words without sharing.
 OWN, ENDINGS, PAIRS = 4096, 2048, 1 << 14
 WORDS = OWN + ENDINGS
-ROUNDS = 4
+JOINT = 1 << 15
+ROUNDS, RATE = 4, 1.0
 #: Tokens worked on at a time: their probabilities stay in a core's cache.
-CHUNK = 1 << 12
+CHUNK = 1 << 13
+#: Training tokens of a task and round, from which on there are more tasks.
+TASK_TOKENS = 16_000_000
+#: Feature rows that are averaged together.
+BLOCK = 1 << 9
 END = b""
 SLICE = 1 << 20
 
@@ -82,10 +97,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(as_bytes("text").alias("raw")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _softmax(weights: np.ndarray, features: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = weights[features[:, 0]]
+    for k in range(1, features.shape[1]):
+        z += weights[features[:, k]]
+    z += bias
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+class Tokens:
+    """Encoded texts: ranks (-1 unknown to the head), classes, slots, feature rows of
+    both factors, and the number of tokens of each text."""
+
+    def __init__(self, words, rank, cls, slot, first, second, sizes):
+        self.words, self.rank, self.cls, self.slot, self.first, self.second, self.sizes = words, rank, cls, slot, first, second, sizes
+
+
 class Model:
-    """What workers need to score; its size does not depend on the corpus."""
+    """What workers need to score; its size does not depend on the corpus.
 
-    def __init__(self, words: list[bytes], counts: list[int], ending_class: np.ndarray, class_total: np.ndarray):
+    by_ending: for each two-byte ending, the count and the number of its words."""
+
+    def __init__(self, words: list[bytes], counts: list[int], ending_class: np.ndarray, by_ending: np.ndarray):
         self.rank = {w: k for k, w in enumerate(words)}
         self.end = self.rank[END]
         c = np.array(counts, np.float64)
@@ -93,14 +129,28 @@ class Model:
         endings = np.array([_ending(w) for w in words])
         order = np.arange(len(words))
         self.ending_class = ending_class
-        self.cls = np.where(order < SINGLE, order, ending_class[endings]).astype(np.int64)
+        self.cls = ending_class[endings]
         self.fid = np.where(order < OWN, order, OWN + endings % ENDINGS).astype(np.int64)
-        self.log_total = np.log10(class_total)
-        self.weights = np.zeros((2 * WORDS + PAIRS, CLASSES), np.float32)
-        self.bias = np.log(np.maximum(class_total, 1) / class_total.sum()).astype(np.float32)
-
-    def encode(self, texts: list[bytes]):
-        """(words, ranks or -1, classes, features n x 3, tokens of each text)."""
+        # a slot each for the first words of a class, in the order of their counts
+        by = np.argsort(self.cls, kind="stable")
+        first = np.searchsorted(self.cls[by], np.arange(CLASSES))
+        place = np.empty(len(words), np.int64)
+        place[by] = order - first[self.cls[by]]
+        self.slot = np.minimum(place, SLOTS - 1)
+        own = self.slot < SLOTS - 1
+        total = np.zeros(CLASSES)
+        np.add.at(total, ending_class, by_ending.sum(axis=1))
+        rest = total.copy()
+        np.subtract.at(rest, self.cls[own], c[own] + 1)
+        self.log_rest = np.log10(np.maximum(rest, 0) + 1)
+        shares = np.zeros((CLASSES, SLOTS))
+        shares[self.cls[own], self.slot[own]] = c[own]
+        shares[:, -1] = np.maximum(rest, 0)
+        shares += 0.1
+        self.bias = [np.log(np.maximum(total, 1) / np.maximum(total, 1).sum())[None].astype(np.float32), np.log(shares / shares.sum(axis=1, keepdims=True)).astype(np.float32)]
+        self.weights = [np.zeros((2 * WORDS + PAIRS, CLASSES), np.float32), np.zeros((2 * JOINT, SLOTS), np.float32)]
+
+    def encode(self, texts: list[bytes]) -> Tokens:
         words: list[bytes] = []
         sizes = np.empty(len(texts), np.int64)
         for k, raw in enumerate(texts):
@@ -109,59 +159,58 @@ class Model:
             words += own
             sizes[k] = len(own)
         rank = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
-        cls, fid = self.cls[rank], self.fid[rank]
+        cls, fid, slot = self.cls[rank], self.fid[rank], self.slot[rank]
         tail = np.flatnonzero(rank < 0)
         if len(tail):
             ending = np.fromiter((_ending(words[k]) for k in tail.tolist()), np.int64, len(tail))
-            cls[tail], fid[tail] = self.ending_class[ending], OWN + ending % ENDINGS
+            cls[tail], fid[tail], slot[tail] = self.ending_class[ending], OWN + ending % ENDINGS, SLOTS - 1
         end = self.fid[self.end]
         one = np.concatenate([[end], fid[:-1]])
         two = np.concatenate([[end], one[:-1]])
         two[np.cumsum(sizes)[:-1]] = end
         pair = (two * 7919 + one * 31) % PAIRS
-        return words, rank, cls, np.stack([one, WORDS + two, 2 * WORDS + pair], axis=1), sizes
-
-    def probabilities(self, features: np.ndarray) -> np.ndarray:
-        z = self.weights[features[:, 0]]
-        z += self.weights[features[:, 1]]
-        z += self.weights[features[:, 2]]
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
-
-    def class_part(self, cls: np.ndarray, features: np.ndarray) -> np.ndarray:
-        """log10 P(class | history) - log10 of the class's total, by token."""
-        out = np.empty(len(cls))
-        for a in range(0, len(cls), CHUNK):
-            p = self.probabilities(features[a : a + CHUNK])
-            c = cls[a : a + CHUNK]
-            out[a : a + CHUNK] = np.log10(np.maximum(p[np.arange(len(c)), c], 1e-30)) - self.log_total[c]
+        half = JOINT // 2
+        joint = lambda f: np.where(f < half // CLASSES, f * CLASSES + cls, half + (f * 31 + cls * 7919) % half)
+        return Tokens(words, rank, cls, slot, np.stack([one, WORDS + two, 2 * WORDS + pair], axis=1), np.stack([joint(one), JOINT + joint(two)], axis=1), sizes)
+
+    def probabilities(self, t: Tokens, at: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """P(class | history), and P(slot | class, history) of each token's class."""
+        return _softmax(self.weights[0], t.first[at], self.bias[0]), _softmax(self.weights[1], t.second[at], self.bias[1][t.cls[at]])
+
+    def log_part(self, t: Tokens) -> np.ndarray:
+        """log10 P(token | history) - log10 (its count + 1), by token."""
+        out = np.empty(len(t.cls))
+        for a in range(0, len(t.cls), CHUNK):
+            at = slice(a, a + CHUNK)
+            p, q = self.probabilities(t, at)
+            c, s, k = t.cls[at], t.slot[at], np.arange(len(p))
+            found = np.log10(np.maximum(p[k, c], 1e-30)) + np.log10(np.maximum(q[k, s], 1e-30))
+            out[at] = found - np.where(s == SLOTS - 1, self.log_rest[c], self.log_count[t.rank[at]])
         return out
 
-    def add_gradient(self, total: np.ndarray, size: np.ndarray, cls: np.ndarray, features: np.ndarray) -> None:
-        """Add (seen - expected) by feature and class, and how often each is seen."""
-        for a in range(0, len(cls), CHUNK):
-            f = features[a : a + CHUNK]
-            g = -self.probabilities(f)
-            g[np.arange(len(g)), cls[a : a + CHUNK]] += 1
-            for k in range(3):
-                order = np.argsort(f[:, k].astype(np.uint16), kind="stable")  # two bytes: sorted by radix
-                rows = f[order, k]
-                starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                total[rows[starts]] += np.add.reduceat(g[order], starts, axis=0)
-                size[rows[starts]] += np.diff(np.concatenate([starts, [len(rows)]]))
+
+def _update(weights: np.ndarray, seen: np.ndarray, met: np.ndarray, features: np.ndarray, error: np.ndarray, rate: float) -> None:
+    """A gradient step of some tokens: error is seen - expected by token. ``seen``
+    holds each row's sum of squared gradients, ``met`` how often it occurred."""
+    for k in range(features.shape[1]):
+        order = np.argsort(features[:, k].astype(np.uint16), kind="stable")  # two bytes: sorted by radix
+        rows = features[order, k]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g, at = np.add.reduceat(error[order], starts, axis=0), rows[starts]
+        seen[at] += (g * g).sum(axis=1)
+        met[at] += np.diff(np.append(starts, len(rows)))
+        g *= (rate / np.sqrt(seen[at] + 1))[:, None]
+        weights[at] += g
 
 
 def _ending_counts(docs: DataFrame, head: list[bytes]) -> np.ndarray:
     """How often each two-byte ending follows each single word, counted over all
     texts; the last single word before it in the text counts. A task holds one
-    table of 65,536 x SINGLE counts, and so does the driver."""
-    single = {w: k for k, w in enumerate(head[:SINGLE])}
+    table of 65,536 x NEAR counts, and so does the driver."""
+    single = {w: k for k, w in enumerate(head[:NEAR])}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(single)
-    cells = (1 << 16) * SINGLE
+    cells = (1 << 16) * NEAR
     names = ["k", "n"]
 
     def run(batches):
@@ -188,7 +237,7 @@ def _ending_counts(docs: DataFrame, head: list[bytes]) -> np.ndarray:
                 start[firsts] = firsts
                 last = np.maximum.accumulate(np.where(near >= 0, at, -1))
                 fine = (near < 0) & (last >= np.maximum.accumulate(start))
-                seen, times = np.unique(ending[fine] * SINGLE + near[last[fine]], return_counts=True)
+                seen, times = np.unique(ending[fine] * NEAR + near[last[fine]], return_counts=True)
                 total[seen] += times
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=names)
@@ -196,65 +245,83 @@ def _ending_counts(docs: DataFrame, head: list[bytes]) -> np.ndarray:
     held = docs.select(as_bytes("text").alias("raw")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     m = np.zeros(cells)
     m[held.column("k").to_numpy()] = held.column("n").to_numpy()
-    return m.reshape(1 << 16, SINGLE)
+    return m.reshape(1 << 16, NEAR)
 
 
 def _ending_groups(docs: DataFrame, head: list[bytes]) -> np.ndarray:
     """Group of each two-byte ending: endings that follow the same frequent words
     stand together (k-means on square-rooted shares, counted over all texts)."""
     m = _ending_counts(docs, head)
-    group = np.arange(1 << 16) % GROUPS
+    group = np.arange(1 << 16) % CLASSES
     mass = m.sum(axis=1)
     live = np.flatnonzero(mass > 0)
-    if len(live) > GROUPS:
+    if len(live) > CLASSES:
         x = np.sqrt(m[live] / mass[live, None])
         weight = mass[live]
         first = np.argsort(-weight, kind="stable")
         centers = [x[first[0]]]
-        for _ in range(GROUPS - 1):  # farthest first, weighed by how common
+        for _ in range(CLASSES - 1):  # farthest first, weighed by how common
             far = np.min([((x - c) ** 2).sum(axis=1) for c in centers], axis=0) * np.sqrt(weight)
             centers.append(x[int(far.argmax())])
         centers = np.array(centers)
         for _ in range(20):
             near = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-            for k in range(GROUPS):
+            for k in range(CLASSES):
                 if (near == k).any():
                     centers[k] = np.average(x[near == k], axis=0, weights=weight[near == k])
         group[live] = near
-    return (SINGLE + group).astype(np.int64)
+    return group.astype(np.int64)
 
 
-def _gradient(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _round(docs: DataFrame, model: Model, tokens: float) -> list[np.ndarray]:
+    """The weights after one round over docs of about so many tokens."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rows, width = model.weights.shape
-    step = 1 << 10
+    parts = max(8, math.ceil(tokens / TASK_TOKENS))
+    merged = max(1, math.isqrt(parts))
 
     def run(batches):
-        total, size = np.zeros((rows, width), np.float32), np.zeros(rows, np.float32)
+        m = shared.value
+        weights = [w.copy() for w in m.weights]
+        seen, met = ([np.zeros(len(w), np.float32) for w in weights] for _ in range(2))
         for batch in batches:
             for _, texts in _slices(batch, 0):
-                _, _, cls, features, _ = shared.value.encode(texts)
-                shared.value.add_gradient(total, size, cls, features)
-        at = [a for a in range(0, rows, step) if size[a : a + step].any()]
-        if at:
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([np.column_stack([total[a : a + step], size[a : a + step]]).tobytes() for a in at])], names=["at", "sums"])
+                t = m.encode(texts)
+                for a in range(0, len(t.cls), CHUNK):
+                    at = slice(a, a + CHUNK)
+                    for k, (features, bias, y) in enumerate(((t.first, m.bias[0], t.cls), (t.second, m.bias[1][t.cls[at]], t.slot))):
+                        error = -_softmax(weights[k], features[at], bias)
+                        error[np.arange(len(error)), y[at]] += 1
+                        _update(weights[k], seen[k], met[k], features[at], error, RATE)
+        group = TaskContext.get().partitionId() % merged
+        for k, w in enumerate(weights):
+            for a in range(0, len(w), BLOCK):
+                n = met[k][a : a + BLOCK]
+                if n.any():
+                    moved = (w[a : a + BLOCK] - m.weights[k][a : a + BLOCK]) * n[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([k], pa.int32()), pa.array([a], pa.int32()), pa.array([np.column_stack([moved, n]).tobytes()])], names=["part", "factor", "at", "sums"])
 
     def merge(batches):
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
-            for a, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for *key, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 now = np.frombuffer(raw, np.float32).astype(np.float64)
-                held[a] = held[a] + now if a in held else now
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in held.values()], pa.binary())], names=["at", "sums"])
-
-    parts = max(8, spark.sparkContext.defaultParallelism)
-    made = docs.select(as_bytes("text").alias("raw")).coalesce(parts).mapInArrow(run, "at int, sums binary")
-    total, size = np.zeros((rows, width)), np.zeros(rows)
-    for r in made.repartition(min(8, parts), "at").mapInArrow(merge, "at int, sums binary").toLocalIterator():
-        part = np.frombuffer(r.sums, np.float32).reshape(-1, width + 1)
-        total[r.at : r.at + len(part)], size[r.at : r.at + len(part)] = part[:, :-1], part[:, -1]
-    return total, size
+                held[tuple(key)] = held[tuple(key)] + now if tuple(key) in held else now
+        for key, x in held.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in key), pa.array([x.astype(np.float32).tobytes()])], names=["part", "factor", "at", "sums"])
+
+    kind = "part int, factor int, at int, sums binary"
+    made = docs.select(as_bytes("text").alias("raw")).coalesce(parts).mapInArrow(run, kind)
+    if merged > 8:  # in two steps, so that no task takes a block of every task
+        made = made.repartition(8 * merged, "part", "factor", "at").mapInArrow(merge, kind)
+    found = made.withColumn("part", F.lit(0)).repartition(8, "factor", "at").mapInArrow(merge, kind)
+    out = [w.copy() for w in model.weights]
+    for r in found.toLocalIterator():
+        w = out[r.factor]
+        x = np.frombuffer(r.sums, np.float32).reshape(-1, w.shape[1] + 1)
+        w[r.at : r.at + len(x)] += x[:, :-1] / np.maximum(x[:, -1:], 1)
+    shared.unpersist()
+    return out
 
 
 def _frequent(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
@@ -280,32 +347,18 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame, int,
     counts = materialize(word_counts(docs), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words, totals = _frequent(counts, HEAD)
-    if END not in words[:SINGLE]:  # the end is a class of its own
-        if END in words:
-            k = words.index(END)
-            c = totals.pop(k)
-            words.pop(k)
-        else:
-            c = (counts.where(F.length("word") == 0).select("c").first() or [0])[0]
-        words.insert(min(SINGLE - 1, len(words)), END)
-        totals.insert(min(SINGLE - 1, len(totals)), c)
+    if END not in words:
+        words.append(END)
+        totals.append((counts.where(F.length("word") == 0).select("c").first() or [0])[0])
     groups = _ending_groups(docs, words)
     by_ending = np.zeros((1 << 16, 2))
     ending = F.conv(F.hex(F.expr("substring(word, -least(2, length(word)), 2)")), 16, 10).cast("int")
-    single = docs.sparkSession.createDataFrame([(bytearray(w),) for w in words[:SINGLE]], "word binary")
-    for r in counts.join(F.broadcast(single), "word", "left_anti").groupBy(ending.alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+    for r in counts.groupBy(F.coalesce(ending, F.lit(0)).alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         by_ending[r.e] = r.c, r.v
-    total = np.concatenate([np.array(totals[:SINGLE] + [0] * (SINGLE - len(totals[:SINGLE])), float) + 1, np.zeros(GROUPS)])
-    np.add.at(total, groups, by_ending.sum(axis=1))
-    total[SINGLE:] += 1
-    model = Model(words, totals, groups, total)
+    model = Model(words, totals, groups, by_ending)
     for k in range(rounds if n else 0):
         share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k)
-        g, size = _gradient(share, model)
-        # a scaled step: the curvature is at most a quarter of the count for each
-        # class, and three features share every token
-        seen = size[:, None] * np.exp(model.bias)[None].astype(np.float64)
-        model.weights += np.clip(g / (seen + np.abs(g) + 5.0), -1, 1).astype(np.float32) * np.float32(1.0)
+        model.weights = _round(share, model, n / rounds)
     return model, counts, n, v
 
 
@@ -326,10 +379,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     def run(batches):
         m = shared.value
         for batch, texts in (x for whole in batches for x in _slices(whole, 2)):
-            words, rank, cls, features, sizes = m.encode(texts)
+            t = m.encode(texts)
+            words, rank, sizes = t.words, t.rank, t.sizes
             stops = np.cumsum(sizes)
             starts = stops - sizes
-            part = m.class_part(cls, features)
+            part = m.log_part(t)
             known = np.where(rank >= 0, m.log_count[rank], 0.0)
             tails: list[list] = []
             places = np.flatnonzero(rank < 0)
