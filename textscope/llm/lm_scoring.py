@@ -49,8 +49,8 @@ JOINT = 1 << 15
 ROUNDS, RATE = 4, 1.0
 #: Tokens worked on at a time: their probabilities stay in a core's cache.
 CHUNK = 1 << 13
-#: Training tokens of a task and round, from which on there are more tasks.
-TASK_TOKENS = 16_000_000
+#: Training tokens of a task and round.
+TASK_TOKENS = 3_000_000
 #: Feature rows that are averaged together.
 BLOCK = 1 << 9
 END = b""
@@ -277,7 +277,7 @@ def _round(docs: DataFrame, model: Model, tokens: float) -> list[np.ndarray]:
     """The weights after one round over docs of about so many tokens."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    parts = max(8, math.ceil(tokens / TASK_TOKENS))
+    parts = max(1, math.ceil(tokens / TASK_TOKENS))
     merged = max(1, math.isqrt(parts))
 
     def run(batches):
