@@ -196,6 +196,11 @@ def test_source_blocks_stay_within_budget(n):
     assert len(text) <= max(topics.SOURCE_BUDGET, heads) and text.count("Source ") == n
 
 
+def test_source_blocks_serve_every_source_first():
+    text = topics.source_blocks([("a", ["x" * 400, "y" * 400]), ("b", ["z" * 30]), ("c", ["  ", None])], 700)
+    assert "x" * 200 in text and "z" * 30 in text and "y" * 200 in text and "y" * 400 not in text and len(text) <= 700
+
+
 def test_evaluation(spark):
     hits = spark.createDataFrame([(1, "a", 1, 0.5, "one", "A", "h"), (1, "a", 3, 0.9, "two", "A2", "h"), (1, "b", 2, 0.8, "one two", "B", "i")], "id long, article_id string, rank int, score double, content_full string, title string, content_hash string")
     rolled = {r.article_id: r for r in evaluate.rollup(hits).collect()}
@@ -211,6 +216,12 @@ def test_evaluation(spark):
     assert evaluate.summary(evaluate.question_metrics(results).limit(0)).first().pass_rate_pct == 0.0
     ratio = spark.createDataFrame([("abcd", "abcf")], "a string, b string").select(evaluate.fuzzy_ratio(F.col("a"), F.col("b")).alias("r")).first().r
     assert ratio == 0.75
+    # a path's rank is its hit's own: a second hit of the first article takes a rank
+    more = spark.createDataFrame([(1, "a", 1, 0.9, "x", "A", "h"), (1, "a", 2, 0.8, "y", "A", "h"), (1, "b", 3, 0.7, "one", "B", "i")], hits.schema)
+    one = paths.where("path_tag = 'p'").withColumn("keywords", F.array(F.lit("one")))
+    assert evaluate.path_results(evaluate.rollup(more), one).first().rank_full == 3
+    assert evaluate.question_metrics(evaluate.path_results(evaluate.rollup(more), one)).first().rr_at_5 == 1 / 3
+    assert evaluate.path_results(evaluate.rollup(more), one, top_k=1).first().rank_full is None
 
 
 def test_overlap_gate(spark):

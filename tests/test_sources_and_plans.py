@@ -97,6 +97,9 @@ def test_chunkers(spark):
     assert chunks_of(spark, "no marker", "numbered-entries") == ["no marker"]
     assert chunks_of(spark, "a\n\nb\n\n" + "c" * 12, "paragraph", least=3, most=6)[:2] == ["a\n\nb", "cccccc"]
     assert chunking.paragraphs("x" * 10 + "\n\ny", 5, 11) == ["x" * 10 + "\n\ny"]
+    assert chunking.paragraphs("a" * 300 + "\n\n" + "b" * 300) == ["a" * 300, "b" * 300]
+    assert [len(x) for x in chunking.paragraphs("c" * 1520)] == [1672] and [len(x) for x in chunking.paragraphs("c" * 3000)] == [1500, 1500, 300]
+    assert chunking.paragraphs(" \n\n ") == [] and chunking.paragraphs("a\n\nb") == ["a\n\nb"]
     with pytest.raises(ValueError):
         chunking.chunk(F.col("t"), "unknown")
     with pytest.raises(ValueError):
@@ -108,7 +111,10 @@ def test_text_functions(spark):
     assert row("<p>a &amp; b</p>\r\n\r\n\r\n\r\nc  \t d ", X.normalize_known) == "a & b\n\nc d"
     assert X.normalize_str("é &eacute; &lt;b&gt; 3 < 4") == "é é 3 < 4"
     assert row("one <two> three", lambda c: X.snippet(c, ["TWO"], 10)).count("&lt;") == 1
-    assert row("ab\x00<'x'>", X.sanitize_prompt) == "ab&lt;&apos;x&apos;&gt;" == X.sanitize_prompt_str("ab\x00<'x'>")
+    assert row("ab\x00<'x'>\x7f", X.sanitize_prompt) == "ab&lt;&#x27;x&#x27;&gt;\x7f" == X.sanitize_prompt_str("ab\x00<'x'>\x7f")
+    assert len(X.sanitize_prompt_str("x" * 20_000, 0)) == 20_000 == len(row("x" * 20_000, lambda c: X.sanitize_prompt(c, 0)))
+    assert row("aa bb cc dd ee", lambda c: X.snippet(c, ["dd", "bb"], 6)) == "cc <mark>dd</mark> ee"
+    assert row(None, lambda c: X.snippet(c, ["x"])) == "" and row("abcdef", lambda c: X.snippet(c, ["x"], 4)) == "abcd"
     assert row("信 心\nx", X.spaced_chars) == "信 心 x"
     assert row("# T\n\n![i](u) [l](u) **b** `c`", X.strip_markdown) == "T l b c"
     assert row("Title\n=====\nbody", X.first_heading) == "Title"
@@ -132,7 +138,12 @@ def test_eval_files(tmp_path):
     snap = {"source_commit": "abc", "categories": [{"name": "n", "questions": [{"id": 3, "query": "q", "gold_paths": line["gold_paths"]}]}]}
     p.write_text(json.dumps(snap), encoding="utf-8")
     assert files.load_snapshot(p)[0].category == "n"
-    assert files.migrate_legacy({"id": 1, "expected_keywords": ["a"]})["gold_paths"][0]["keywords"] == ["a"]
+    moved = files.migrate_legacy({"id": 1, "expected_keywords": "ab", "expected_article_hints": ["h"]})
+    assert moved == {"id": 1, "gold_paths": [{"path_tag": "default", "keywords": ["ab"], "article_hints": ["h"]}]}
+    with pytest.raises(files.InputError):
+        files.migrate_legacy({"id": 1})
+    p.write_text(json.dumps({**line, "gold_paths": [{"keywords": "k"}, {"keywords": ["l"]}]}), encoding="utf-8")
+    assert [(g.path_tag, g.keywords) for g in files.load_candidates(p)[0].gold_paths] == [("path_0", ("k",)), ("path_1", ("l",))]
 
 
 def test_small_inputs(tmp_path, monkeypatch):
@@ -198,6 +209,7 @@ def test_search_and_ask(searcher, tmp_path):
 
     turns = [{"role": "user", "content": "about law"}, {"role": "assistant", "content": "yes"}]
     assert Asker(searcher, broken).standalone("and grace?", turns) == "about law and grace?"
+    assert Asker(searcher, lambda m: " \n").standalone("and grace?", turns) == "about law and grace?"
     assert Asker(searcher, lambda m: "\n law and grace \n").standalone("and grace?", turns) == "law and grace"
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,38 +37,35 @@ def by_marker(c: Column, pattern: str, size: int = 1000, overlap: int = 100) ->
     return F.when(F.size(kept) > 0, kept).otherwise(fixed_window(c, size, overlap))
 
 
+def _pieces(text: str, most: int) -> Iterator[str]:
+    """Paragraphs between blank lines; one above ``most`` as overlapping windows."""
+    step = max(1, most - max(most // 10, 50))
+    for part in map(str.strip, re.split(r"\n\s*\n", text)):
+        windows = 1 + max(0, math.ceil((len(part) - most) / step))
+        yield from (part[k * step : k * step + most] for k in range(windows) if part)
+
+
 def paragraphs(text: str, least: int = 200, most: int = 1500) -> list[str]:
-    """Paragraphs merged up to ``most`` characters; longer ones cut into windows,
-    a tail below ``least`` joins the chunk before it."""
-    out: list[str] = []
+    """Pieces joined to chunks. A chunk is done once it reaches ``least``; one that
+    the next piece would take beyond ``most`` is done as it is, and that piece
+    waits for another even if it is long enough. A short rest joins the last."""
+    done: list[str] = []
     held = ""
-    lap = max(most // 10, 50)
-    for part in (p.strip() for p in re.split(r"\n\s*\n", text)):
-        if not part:
-            continue
-        if len(part) > most:
-            if held:
-                out.append(held)
-                held = ""
-            step, at = max(1, most - lap), 0
-            while True:
-                out.append(part[at : at + most])
-                if at + most >= len(part):
-                    break
-                at += step
-        elif not held:
-            held = part
-        elif len(held) + 2 + len(part) <= most:
-            held = f"{held}\n\n{part}"
-        else:
-            out.append(held)
-            held = part
-    if held:
-        if out and len(held) < least:
-            out[-1] = f"{out[-1]}\n\n{held}"
+    for piece in _pieces(text, most):
+        grown = f"{held}\n\n{piece}" if held else piece
+        if held and len(grown) > most:
+            done.append(held)
+            held = piece
+        elif len(grown) < least:
+            held = grown
         else:
-            out.append(held)
-    return out
+            done.append(grown)
+            held = ""
+    if held and done and len(held) < least:
+        done[-1] += f"\n\n{held}"
+    elif held:
+        done.append(held)
+    return done
 
 
 def paragraph(c: Column, least: int = 200, most: int = 1500) -> Column:

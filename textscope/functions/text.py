@@ -106,15 +106,21 @@ def escape_html(c: Column) -> Column:
 
 
 def snippet(content: Column, terms: list[str], window: int = 200) -> Column:
-    """Text around the first term found (any case), escaped, terms marked."""
-    places = [F.nullif(F.instr(F.lower(content), t.lower()), F.lit(0)) for t in terms if t]
-    first = F.coalesce(F.least(*places) if len(places) > 1 else (places[0] if places else F.lit(1)), F.lit(1))
-    start = F.greatest(F.lit(1), first - window // 2)
-    out = escape_html(F.substring(content, start, F.lit(window)))
+    """Text around the first of the terms that occurs (any case), half a window to
+    each side, escaped and with all terms marked; the text's start if none does."""
+    terms = [t for t in terms if t]
+    half = window // 2
+    c = F.coalesce(content, F.lit(""))
+    cut, hit = F.left(c, F.lit(window)), F.lit(False)
+    for t in reversed(terms):
+        at = F.instr(F.lower(c), t.lower())
+        start = F.greatest(F.lit(1), at - half)
+        cut = F.when(at > 0, F.substring(c, start, at + len(t) + half - start)).otherwise(cut)
+        hit = hit | (at > 0)
+    out = marked = escape_html(cut)
     for t in terms:
-        if t:
-            out = F.replace(out, F.lit(html.escape(t)), F.lit(f"<mark>{html.escape(t)}</mark>"))
-    return out
+        marked = F.replace(marked, F.lit(html.escape(t)), F.lit(f"<mark>{html.escape(t)}</mark>"))
+    return F.when(hit, marked).otherwise(out)
 
 
 def highlight_html(c: Column, terms: list[str]) -> Column:
@@ -136,22 +142,22 @@ def plain_preview(c: Column, n: int = 120) -> Column:
     return F.substring(F.regexp_replace(c, r"^[#>*\-\s]+", ""), 1, n)
 
 
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
 def strip_control(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.regexp_replace(c, _CONTROL, "")
 
 
 def sanitize_prompt(c: Column, limit: int = 10_000) -> Column:
-    out = strip_control(c)
-    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
-        out = F.replace(out, F.lit(sign), F.lit(entity))
-    return F.left(out, F.lit(limit))
+    """Escaped text without control signs, of ``limit`` characters (0: any number)."""
+    out = escape_html(strip_control(c))
+    return F.left(out, F.lit(limit)) if limit > 0 else out
 
 
 def sanitize_prompt_str(text: str, limit: int = 10_000) -> str:
-    out = re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "", text)
-    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
-        out = out.replace(sign, entity)
-    return out[:limit]
+    out = html.escape(re.sub(_CONTROL, "", text))
+    return out[:limit] if limit > 0 else out
 
 
 def normalize_title(c: Column) -> Column:

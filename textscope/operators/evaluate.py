@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 OVERLAP_GATE = 0.70
 TOP_KEYS = 10
+#: Articles of a question that count.
+TOP_K = 20
 FUZZY = 0.6
 
 
@@ -42,7 +44,8 @@ def fuzzy_ratio(title: Column, hint: Column) -> Column:
 
 def rollup(hits: DataFrame, top_k: int | None = None) -> DataFrame:
     """One row an article and question: its best-scored hit (the earlier at a tie),
-    the contents joined in rank order, the number of hits, and rank by that score."""
+    the contents joined in rank order, and the number of hits. first_rank is that
+    hit's own rank, rank the article's place by it; ``top_k`` articles stay."""
     best = F.max_by(F.struct("rank", "score", "title", "content_hash"), F.struct("score", -F.col("rank")))
     by = hits.groupBy("id", "article_id").agg(
         best.alias("b"),
@@ -57,10 +60,12 @@ def rollup(hits: DataFrame, top_k: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= top_k) if top_k else out
 
 
-def path_results(rolled: DataFrame, paths: DataFrame) -> DataFrame:
-    """(id, path_tag, rank_full, any_partial): where a path is first met in full."""
-    graded = rolled.join(paths, "id").withColumn("grade", path_grade(F.col("content_union"), F.col("keywords")))
-    found = graded.groupBy("id", "path_tag").agg(F.min(F.when(F.col("grade") == "full", F.col("rank"))).alias("rank_full"), F.bool_or(F.col("grade") == "partial").alias("any_partial"))
+def path_results(rolled: DataFrame, paths: DataFrame, top_k: int | None = TOP_K) -> DataFrame:
+    """(id, path_tag, rank_full, any_partial) over the first ``top_k`` articles: the
+    least hit rank of those that meet a path in full."""
+    some = rolled.where(F.col("rank") <= top_k) if top_k else rolled
+    graded = some.join(paths, "id").withColumn("grade", path_grade(F.col("content_union"), F.col("keywords")))
+    found = graded.groupBy("id", "path_tag").agg(F.min(F.when(F.col("grade") == "full", F.col("first_rank"))).alias("rank_full"), F.bool_or(F.col("grade") == "partial").alias("any_partial"))
     return paths.select("id", "path_tag").join(found, ["id", "path_tag"], "left").withColumn("any_partial", F.coalesce("any_partial", F.lit(False)))
 
 

@@ -58,19 +58,23 @@ def concept_excerpts(index: DataFrame, concept: str, filter: Filter | None = Non
 def source_blocks(items: list[tuple[str, list[str]]], budget: int = SOURCE_BUDGET, least: int = LEAST_CHUNK) -> str:
     """The prompt's list of sources within ``budget`` characters, headings included.
 
-    What the headings leave is shared evenly by as many of the first sources as
-    can have ``least`` characters each; the others stand as headings."""
-    heads = [f"Source {k}: {title}" for k, (title, _) in enumerate(items, 1)]
-    left = max(0, budget - sum(map(len, heads)) - 2 * max(0, len(heads) - 1))
-    funded = min(len(heads), left // least)
-    share = left // funded if funded else 0
-    out = []
-    for k, (head, (_, texts)) in enumerate(zip(heads, items)):
-        texts = [t for t in texts if t and t.strip()] if k < funded else []
-        texts = texts[: max(1, share // least)]
-        room = share // len(texts) - 4 if texts else 0  # "\n- " and the sign of a cut
-        out.append("\n".join([head, *(f"- {t if len(t) <= room else t[: room] + '…'}" for t in texts if room > 0)]))
-    return "\n\n".join(out)
+    Headings always stand. Texts are served in turns, the first of every source
+    before any second one: each takes what it needs, up to an even part of what
+    is left for the texts still waiting, so that a short text's room goes to
+    those after it. A text that would be cut below ``least`` is left out."""
+    lines = [[f"Source {k}: {title}"] for k, (title, _) in enumerate(items, 1)]
+    left = budget - sum(len(x[0]) + 2 for x in lines)
+    queue = sorted(((turn, k, t.strip()) for k, (_, texts) in enumerate(items) for turn, t in enumerate(t for t in texts if t and t.strip())), key=lambda x: x[:2])
+    waiting = max(1, min(len(queue), left // (least + 4)))
+    for _, k, text in queue:
+        room = left // waiting - 4  # a line's end, its bullet and the sign of a cut
+        if room < min(least, len(text)):
+            continue
+        line = f"- {text if len(text) <= room else text[:room] + '…'}"
+        lines[k].append(line)
+        left -= len(line) + 1
+        waiting = max(1, waiting - 1)
+    return "\n\n".join("\n".join(x) for x in lines)
 
 
 def consensus_and_disagreements(text: str) -> tuple[list[str], list[str]]:

@@ -37,15 +37,20 @@ class Candidate:
     gold_paths: tuple[GoldPath, ...]
 
 
-def _gold_path(entry: Any, where: str, hints: str = "article_hints") -> GoldPath:
+def _strings(value: Any, where: str) -> tuple[str, ...]:
+    """A list's items as text; a plain string is one item, nothing is none."""
+    if value is not None and not isinstance(value, (str, list)):
+        raise InputError(f"{where} must be a list or a string")
+    return (value,) if isinstance(value, str) else tuple(map(str, value or ()))
+
+
+def _gold_path(entry: Any, where: str, number: int, hints: str = "article_hints") -> GoldPath:
     if not isinstance(entry, dict):
         raise InputError(f"{where}: gold path must be an object")
-    tag, words = entry.get("path_tag"), entry.get("keywords")
-    if not isinstance(tag, str) or not tag:
-        raise InputError(f"{where}: path_tag must be a non-empty string")
-    if not isinstance(words, list) or not words or not all(isinstance(w, str) and w for w in words):
-        raise InputError(f"{where}: keywords must be non-empty strings")
-    return GoldPath(tag, tuple(words), tuple(map(str, entry.get(hints) or ())), entry.get("expected_direction"))
+    words = _strings(entry.get("keywords"), f"{where}: keywords")
+    if not words:
+        raise InputError(f"{where}: keywords must not be empty")
+    return GoldPath(str(entry.get("path_tag", f"path_{number}")), words, _strings(entry.get(hints), f"{where}: {hints}"), entry.get("expected_direction"))
 
 
 def _unique(values: list, what: str) -> None:
@@ -73,7 +78,7 @@ def load_candidates(path: str | Path) -> list[Candidate]:
         paths = d.get("gold_paths")
         if not isinstance(paths, list) or not paths:
             raise InputError(f"{where}: gold_paths must be a non-empty list")
-        made = tuple(_gold_path(p, where) for p in paths)
+        made = tuple(_gold_path(p, where, k) for k, p in enumerate(paths))
         _unique([p.path_tag for p in made], f"path_tag in {where}")
         out.append(Candidate(d["id"], d["query"], str(d.get("category") or ""), str(d.get("source") or ""), made))
     _unique([c.id for c in out], "id")
@@ -89,7 +94,7 @@ def load_snapshot(path: str | Path) -> list[Candidate]:
     for category in data.get("categories") or []:
         for q in category.get("questions") or []:
             where = f"question {q.get('id')}"
-            made = tuple(_gold_path(p, where, "representative_corpus_articles") for p in q.get("gold_paths") or [])
+            made = tuple(_gold_path(p, where, k, "representative_corpus_articles") for k, p in enumerate(q.get("gold_paths") or []))
             if not made:
                 raise InputError(f"{where}: no gold path")
             _unique([p.path_tag for p in made], f"path_tag in {where}")
@@ -104,12 +109,14 @@ def gold_frame(spark: SparkSession, candidates: list[Candidate]) -> DataFrame:
 
 
 def migrate_legacy(entry: dict[str, Any]) -> dict[str, Any]:
-    """An old entry with its keywords as one gold path."""
-    if "gold_paths" in entry:
-        return dict(entry)
-    kept = {k: v for k, v in entry.items() if k not in ("expected_keywords", "article_hints")}
-    path = {"path_tag": "main", "keywords": list(entry.get("expected_keywords") or []), "article_hints": list(entry.get("article_hints") or [])}
-    return {**kept, "gold_paths": [path]}
+    """An old entry with its keywords and hints as one gold path."""
+    out = dict(entry)
+    if "gold_paths" not in out:
+        if "expected_keywords" not in out:
+            raise InputError("expected_keywords is missing")
+        words, hints = (list(_strings(out.pop(name, None), name)) for name in ("expected_keywords", "expected_article_hints"))
+        out["gold_paths"] = [{"path_tag": "default", "keywords": words, "article_hints": hints}]
+    return out
 
 
 def id_kind(value: str) -> str:
