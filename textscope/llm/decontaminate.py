@@ -37,9 +37,9 @@ SHINGLE_WORDS = 5
 MIN_OVERLAP = 0.8
 #: Words from which a question or an answer counts by itself: shorter ones are no proof.
 PART_WORDS = 8
-MIN_SCORE = 0.5
+MIN_SCORE = 0.55
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
 CHUNK_ITEMS = 20_000
 CHUNK_WORDS = 2_000_000
 
