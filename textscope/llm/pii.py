@@ -189,4 +189,5 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(count("base", k)).alias(f"n_{k}") for k in KINDS[:4]],
         F.expr(f"sha2(cast({ordered('base')} as binary), 256)").alias("base_sha256"),
         F.expr(ordered("spans")).alias("spans"),
+        F.expr("cast(size(spans) as bigint)").alias("n_spans"),
     )
