@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from textscope.llm import components, simhash
+from textscope.llm import common, components, simhash
 from textscope.llm.common import hub_join
 
 from .samples import EDGES, docs_of, edge_docs, prose
@@ -114,7 +114,8 @@ def test_a_dense_group_is_linked_without_its_square():
     assert (simhash._stars(v, np.array([0]), np.array([len(v)]), 64, 4) == 0).all()
 
 
-def test_hubs_give_the_same_join(spark):
+def test_hubs_give_the_same_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_ROWS", 256)
     rows = spark.createDataFrame([(1, k) for k in range(700)] + [(k, k) for k in range(2, 400)], "u long, v long")
     values = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, hub_join(rows, values, "u", "n", rows.count()).collect())) == sorted((u, v, 0 if u == 1 else v) for u, v in map(tuple, rows.collect()))

@@ -73,10 +73,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def hub_join(rows: DataFrame, values: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined to values (one row a key; ``weight`` is how many rows have it).
 
-    A key that holds more than a thousandth of ``total`` rows is one of at most
-    1,000; those values are broadcast, so that no task has to take a hub's rows.
-    The others meet by a shuffled join. inner or left, null keys match nothing."""
-    hot = max(256, total // 1000)
+    A key that holds more than a thousandth of ``total`` rows, and ``HUB_ROWS`` of
+    them, is one of at most 1,000; those values are broadcast, so that no task has
+    to take a hub's rows. The others meet by a shuffled join. inner or left, null keys match nothing."""
+    hot = max(HUB_ROWS, total // 1000)
     if total <= hot:
         return rows.join(values.drop(weight), key, how)
     hubs = F.broadcast(values.where(F.col(weight) > hot).drop(weight))
@@ -85,6 +85,10 @@ def hub_join(rows: DataFrame, values: DataFrame, key: str, weight: str, total: i
     return rows.join(hubs, key).unionByName(spread.join(rest, key, how))
 
 
+#: Rows of one key that a task takes without trouble.
+HUB_ROWS = 100_000
+
+
 def as_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -197,14 +197,16 @@ def classes(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, lea
     prints = materialize(_fingerprints(texts, words), "wide-fingerprints")
     blocks = tries(n)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    links, known = None, prints.select("id", F.col("id").alias("label"))
+    known = prints.select("id", F.col("id").alias("label"))
     for first, some in ((0, blocks[:FIRST]), (FIRST, blocks[FIRST:])):
         cells = _cells(prints.join(known, "id"), some, first)
         dealt = cells.repartition(parts, "trie", "lead").sortWithinPartitions("trie", "lead")
         pairs = materialize(dealt.mapInArrow(_forest, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
         fine = materialize(_confirmed(pairs, texts, least, words), "confirmed")
-        links = fine if links is None else links.unionByName(fine)
-        found = components(links)
+        if not fine.limit(1).count():
+            continue
+        # the classes so far stand for the links that made them
+        found = components(fine.unionByName(known.where("id <> label").select(F.col("id").alias("u"), F.col("label").alias("v"))))
         known = materialize(prints.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("label")), "classes")
     return known.select("id", F.col("label").alias("class")), seed
 
