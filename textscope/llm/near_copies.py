@@ -44,6 +44,8 @@ DIFFERING, MEETINGS = 0.15, 4.5
 CELL_BITS = 8
 #: Tries whose links are settled before the others run.
 FIRST = 2
+#: Ids, of eight bytes each, that are broadcast at most.
+BROADCAST_IDS = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -164,7 +166,11 @@ def _forest(batches):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs (u, v) whose texts are similar enough."""
+    """The pairs (u, v) whose texts are similar enough. Only texts of a pair move:
+    their ids are broadcast where they are few, else joined."""
+    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "paired")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = materialize(texts.join(some, "id", "left_semi"), "paired-texts")
     left, right = texts.select(F.col("id").alias("u"), F.col("normal").cast("binary").alias("a")), texts.select(F.col("id").alias("v"), F.col("normal").cast("binary").alias("b"))
 
     def run(batches):
@@ -223,9 +229,9 @@ def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     repeat an id all stay. Empty docs: empty."""
     found, seed = classes(docs, text, words, least)
     mark = {"__id": _named(normal_text(text), seed), "__none": F.col(doc_id).isNull(), "__doc": F.col(doc_id), "__hash": F.xxhash64(*docs.columns)}
-    marked = docs.select("*", *[c.alias(n) for n, c in mark.items()])
+    marked = docs.select(F.struct(*docs.columns).alias("__row"), *[c.alias(n) for n, c in mark.items()])
     best = F.min(F.struct("__none", "__doc", "__hash", "__id"))
     own = marked.groupBy("__id").agg(best.alias("b"))
     kept = own.join(found, F.col("__id") == F.col("id")).groupBy("class").agg(F.min("b").alias("b")).select("b.*")
     same = [marked[c].eqNullSafe(kept[c]) for c in mark]
-    return marked.join(kept, same, "left_semi").dropDuplicates(list(mark)).select(*docs.columns)
+    return marked.join(kept, same, "left_semi").dropDuplicates(list(mark)).select("__row.*")
