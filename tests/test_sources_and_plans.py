@@ -81,8 +81,12 @@ def test_stream_takes_each_file_once(spark, root, tmp_path):
         assert q.exception() is None
     (tmp_path / "docs" / "sermons" / "three.md").write_text("third", encoding="utf-8")
     stream.start(spark, root, str(tmp_path / "snap"), str(tmp_path / "check"), {"sermons": "sermon"}).awaitTermination(120)
-    got = ingest.read_snapshot(spark, str(tmp_path / "snap"))["articles"]
-    assert sorted(r.path for r in got.collect()) == ["sermons/one.md", "sermons/three.md", "sermons/two.md"]
+    tables = ingest.read_snapshot(spark, str(tmp_path / "snap"))
+    assert sorted(r.path for r in tables["articles"].collect()) == ["sermons/one.md", "sermons/three.md", "sermons/two.md"]
+    # derived tables follow, and files that failed are kept apart
+    assert tables["texts"].count() == 3 and {r.path for r in tables["errors"].collect()} == {"bad.md", "lost.md"}
+    with pytest.raises(FileNotFoundError):
+        ingest.read_snapshot(spark, str(tmp_path / "none"))
 
 
 def chunks_of(spark, text, strategy, **options):

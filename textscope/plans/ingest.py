@@ -59,22 +59,37 @@ def derived(articles: DataFrame, by_type: dict[str, tuple[str, dict]] | None = N
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def write_snapshot(tables: dict[str, DataFrame], root: str, meta: dict[str, str] | None = None) -> str:
-    """Write a new version folder, then point ``current`` to it; returns its path.
-    Readers of the old version aren't disturbed, and a failed write changes nothing."""
+    """Write a new version folder, then a pointer to it that gets its name by one
+    rename; returns the version's path. Readers take the newest pointer, so they
+    always find a whole one, and a failed write changes nothing."""
     spark = next(iter(tables.values())).sparkSession
-    path = f"{root}/v{datetime.now(UTC):%Y%m%d%H%M%S%f}"
+    version = f"v{datetime.now(UTC):%Y%m%d%H%M%S%f}"
+    path = f"{root}/{version}"
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}")
     held = {"schema_version": schema.SCHEMA_VERSION, "path": path, **(meta or {})}
-    spark.createDataFrame([(json.dumps(held, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    spark.createDataFrame([(json.dumps(held, sort_keys=True),)], "value string").coalesce(1).write.text(f"{root}/_writing-{version}")
+    fs, made = _folder(spark, f"{root}/_writing-{version}")
+    fs.mkdirs(_folder(spark, f"{root}/pointers")[1])
+    if not fs.rename(made, _folder(spark, f"{root}/pointers/{version}")[1]):
+        raise OSError(f"no pointer could be set to {path}")
     return path
 
 
 def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    held = json.loads(spark.read.text(f"{root}/current").first()[0])
+    """The newest version's tables; FileNotFoundError where none is."""
+    fs, pointers = _folder(spark, f"{root}/pointers")
+    found = sorted(s.getPath().getName() for s in fs.listStatus(pointers)) if fs.exists(pointers) else []
+    if not found:
+        raise FileNotFoundError(f"no snapshot in {root}")
+    held = json.loads(spark.read.text(f"{root}/pointers/{found[-1]}").first()[0])
     schema.check_version(held.get("schema_version"))
-    fs = spark._jvm.org.apache.hadoop.fs
-    path = fs.Path(held["path"])
-    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    fs, path = _folder(spark, held["path"])
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
     return {n: spark.read.parquet(f"{held['path']}/{n}") for n in sorted(names)}
