@@ -196,9 +196,27 @@ def test_source_blocks_stay_within_budget(n):
     assert len(text) <= max(topics.SOURCE_BUDGET, heads) and text.count("Source ") == n
 
 
+def test_validation_block_and_tenant_filter(spark):
+    from textscope.sources.axes import ConfigError, parse_axes
+
+    schema = "article_id string, source_type string, subtype string, title string, tags array<string>"
+    articles = spark.createDataFrame([("1", "s", None, "t", []), ("2", "s", None, "t", []), ("3", "z", None, "t", [])], schema)
+    axes = lambda **bounds: parse_axes({"axes": [{"id": "a", "name": "A", "order": 1, "rules": [{"source_type": "s", "primary": True}]}, {"id": "b", "name": "B", "order": 2, "rules": []}], "validation": bounds})
+    rows = classify.classify(articles, axes())
+    report = classify.validate(articles, rows, axes(total_rows_min=4, unclassified_max=0, per_axis_min=1, avg_axes_per_article_max=1))
+    assert not report.passed and report.metrics["per_axis"] == {"a": 2, "b": 0}
+    assert [f.split(":")[0] for f in report.failures] == ["rows", "unclassified", "axis b", "axis b has no article"]
+    assert classify.validate(articles, rows, axes(total_rows_max=3)).failures == ["axis b has no article"]
+    with pytest.raises(ConfigError):
+        axes(per_axis_min="1")
+    own = Filter.of(source_type="z").within(source_type="s")
+    assert own.apply(articles).count() == 0 and Filter.of(tag__in=["x"]).within(source_type="s").canonical() == {"source_type": "s", "tag__in": ["x"]}
+    assert own.canonical() == {"source_type": ["s", "z"]} and Filter().within(source_type="s").apply(articles).count() == 2
+
+
 def test_source_blocks_serve_every_source_first():
     text = topics.source_blocks([("a", ["x" * 400, "y" * 400]), ("b", ["z" * 30]), ("c", ["  ", None])], 700)
-    assert "x" * 200 in text and "z" * 30 in text and "y" * 200 in text and "y" * 400 not in text and len(text) <= 700
+    assert "x" * 200 in text and "z" * 30 in text and "x" * 400 not in text and "y" * 200 in text and len(text) <= 700
 
 
 def test_evaluation(spark):

@@ -70,7 +70,21 @@ def metrics(articles: DataFrame, axes: DataFrame) -> DataFrame:
     )
 
 
-def validate(articles: DataFrame, axes: DataFrame, *, max_unclassified_pct: float = 100.0, min_avg_axes: float = 0.0, max_avg_axes: float = float("inf")) -> Report:
+#: Bounds of a configuration's ``validation`` block, each with a lowest and a highest value; fixed names.
+BOUNDS = ("total_rows", "avg_axes_per_article", "unclassified", "per_axis")
+
+
+def axis_sizes(axes: DataFrame, config: AxesConfig) -> dict[str, int]:
+    """Articles of each configured axis, 0 where there are none."""
+    found = {r.axis_id: r["count"] for r in axes.where(F.col("axis_id").isin([a.id for a in config.axes])).groupBy("axis_id").count().collect()}
+    return {a.id: found.get(a.id, 0) for a in config.axes}
+
+
+def validate(articles: DataFrame, axes: DataFrame, config: AxesConfig | None = None, *, max_unclassified_pct: float = 100.0, min_avg_axes: float = 0.0, max_avg_axes: float = float("inf")) -> Report:
+    """Metrics and what is wrong with them: articles without a primary axis, or with
+    several unless ``primary_uniq_required`` is false, values outside the arguments'
+    bounds and, with a configuration, outside those of its ``validation`` block
+    (``{name}_min``, ``{name}_max`` of BOUNDS), and axes without an article."""
     row = metrics(articles, axes).first().asDict()
     n = max(1, row["total"])
     m = {**row, "unclassified_pct": 100.0 * row["unclassified"] / n, "avg_axes": row["axis_rows"] / n}
@@ -79,7 +93,18 @@ def validate(articles: DataFrame, axes: DataFrame, *, max_unclassified_pct: floa
         failures.append(f"unclassified {m['unclassified_pct']:.2f} % > {max_unclassified_pct} %")
     if not min_avg_axes <= m["avg_axes"] <= max_avg_axes:
         failures.append(f"average axes {m['avg_axes']:.2f} outside {min_avg_axes}..{max_avg_axes}")
-    failures += [f"{m[k]} articles: {k}" for k in ("multi_primary", "no_primary") if m[k]]
+    rules = config.validation if config else {}
+    once = ("multi_primary",) if rules.get("primary_uniq_required", True) else ()
+    failures += [f"{m[k]} articles: {k}" for k in (*once, "no_primary") if m[k]]
+    if config:
+        m["per_axis"] = axis_sizes(axes, config)
+        measured = [("total_rows", "rows", m["axis_rows"]), ("avg_axes_per_article", "average axes", m["avg_axes"]), ("unclassified", "unclassified", m["unclassified"])]
+        measured += [("per_axis", f"axis {name}", size) for name, size in m["per_axis"].items()]
+        for name, what, value in measured:
+            low, high = rules.get(f"{name}_min"), rules.get(f"{name}_max")
+            if low is not None and value < low or high is not None and value > high:
+                failures.append(f"{what}: {value:.4g} outside {'' if low is None else low}..{'' if high is None else high}")
+        failures += [f"axis {name} has no article" for name, size in m["per_axis"].items() if not size]
     return Report(not failures, m, failures)
 
 

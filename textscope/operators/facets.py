@@ -17,7 +17,7 @@ def tag_counts(articles: DataFrame, limit: int | None = None) -> DataFrame:
 def query_tag_counts(articles: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
     """(tag, count, query_count), most of the query's articles first. One pass:
     the query's articles are marked, then both counts are one aggregate."""
-    marked = articles.where(not_excluded()).join(F.broadcast(ids.select("article_id").distinct().withColumn("__in", F.lit(1))), "article_id", "left")
+    marked = articles.where(not_excluded()).join(ids.select("article_id").distinct().withColumn("__in", F.lit(1)), "article_id", "left")
     out = marked.select(F.explode("tags").alias("tag"), "__in").groupBy("tag").agg(F.count(F.lit(1)).alias("count"), F.count("__in").alias("query_count"))
     out = out.orderBy(F.desc("query_count"), F.desc("count"), "tag")
     return out.limit(limit) if limit else out

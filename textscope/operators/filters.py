@@ -29,8 +29,17 @@ class Filter:
             raise TypeError(f"unknown filter: {', '.join(unknown)}")
         return cls(tuple((k, tuple(v) if isinstance(v, (list, set, tuple)) else v) for k, v in conditions.items() if v is not None))
 
+    def within(self, **fixed: Any) -> Filter:
+        """The filter for callers who may only see rows that pass ``fixed``, such as a
+        tenant's source_type: both hold, so it can be narrowed but not widened."""
+        return Filter((*self.conditions, *Filter.of(**fixed).conditions))
+
     def canonical(self) -> dict[str, Any]:
-        return {k: list(v) if isinstance(v, tuple) else v for k, v in sorted(self.conditions)}
+        out: dict[str, Any] = {}
+        for k, v in sorted(self.conditions, key=repr):
+            value = list(v) if isinstance(v, tuple) else v
+            out[k] = [out[k], value] if k in out else value
+        return out
 
     def condition(self) -> Column:
         """Nulls follow SQL: a row without the column's value passes no test."""

@@ -106,7 +106,7 @@ def chunk_signal(chunks: DataFrame, query: str, *, limit: int = 50, over_fetch:
 def chunk_hits(chunks: DataFrame, query: str, ids: DataFrame, top: int = 3, any_term: bool = False) -> DataFrame:
     """The best ``top`` matching chunks of each given article, with chunk_rank and
     chunk_hits, the number of all that match."""
-    found = scored(chunks, query, column="content", any_term=any_term).join(F.broadcast(ids.select("article_id").distinct()), "article_id", "left_semi")
+    found = scored(chunks, query, column="content", any_term=any_term).join(ids.select("article_id").distinct(), "article_id", "left_semi")
     by = Window.partitionBy("article_id")
     ranked = found.withColumn("chunk_rank", F.row_number().over(by.orderBy(F.round("bm25_raw", 6), "chunk_index"))).withColumn("chunk_hits", F.count(F.lit(1)).over(by))
     return ranked.where(F.col("chunk_rank") <= top)

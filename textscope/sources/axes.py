@@ -73,6 +73,9 @@ def _rule(entry: Any, where: str) -> Rule:
         raise ConfigError(f"{where}: a rule must be a mapping")
     if unknown := set(entry) - _RULE_KEYS:
         raise ConfigError(f"{where}: unknown keys {sorted(unknown)}")
+    for name in ("subtype", "tag", "retag_source_type_to"):
+        if entry.get(name) is not None and not isinstance(entry[name], str):
+            raise ConfigError(f"{where}: {name} must be a string")
     if not isinstance(entry.get("primary"), bool):
         raise ConfigError(f"{where}: primary must be true or false")
     pattern = entry.get("title_regex")
@@ -84,6 +87,15 @@ def _rule(entry: Any, where: str) -> Rule:
     return Rule(_text(entry, "source_type", where), entry["primary"], pattern, entry.get("subtype"), entry.get("tag"), entry.get("retag_source_type_to"))
 
 
+def _bounds(entry: Any) -> dict[str, Any]:
+    if not isinstance(entry, dict):
+        raise ConfigError("validation must be a mapping")
+    for name, value in entry.items():
+        if name.endswith(("_min", "_max")) and value is not None and (isinstance(value, bool) or not isinstance(value, (int, float))):
+            raise ConfigError(f"validation: {name} must be a number")
+    return entry
+
+
 def parse_axes(data: Any) -> AxesConfig:
     """Checked: required fields, reserved, repeated and missing ids, orders, cycles."""
     if not isinstance(data, dict) or not isinstance(data.get("axes"), list):
@@ -115,7 +127,7 @@ def parse_axes(data: Any) -> AxesConfig:
                 raise ConfigError(f"{axis}: parents form a cycle")
             seen.add(at)
             at = parent[at]
-    return AxesConfig(tuple(sorted(axes, key=lambda a: a.order)), data.get("validation") or {})
+    return AxesConfig(tuple(sorted(axes, key=lambda a: a.order)), _bounds(data.get("validation") or {}))
 
 
 def load_axes(path: str | Path) -> AxesConfig:
