@@ -226,11 +226,11 @@ def test_evaluation(spark):
     paths = spark.createDataFrame([(1, "p", ["one", "TWO"]), (1, "q", ["one", "zz"]), (2, "r", ["x"])], "id long, path_tag string, keywords array<string>")
     results = evaluate.path_results(evaluate.rollup(hits), paths)
     got = {r.path_tag: r for r in evaluate.path_metrics(results).collect()}
-    assert got["p"].rank_full == 1 and got["q"].rank_full is None and got["q"].any_partial and got["r"].rr == 0
+    assert got["p"].rank_full == 2 and got["q"].rank_full is None and got["q"].any_partial and got["r"].rr == 0
     q = {r.id: r for r in evaluate.question_metrics(results).collect()}
-    assert q[1].passed and q[1].n_passing == 1 and not q[2].passed and q[1].rr_at_5 == 1.0
+    assert q[1].passed and q[1].n_passing == 1 and not q[2].passed and q[1].rr_at_5 == 0.5
     s = evaluate.summary(evaluate.question_metrics(results)).first()
-    assert (s.total, s.pass_count, s.pass_rate_pct, s.mrr_at_5) == (2, 1, 50.0, 0.5)
+    assert (s.total, s.pass_count, s.pass_rate_pct, s.mrr_at_5) == (2, 1, 50.0, 0.25)
     assert evaluate.summary(evaluate.question_metrics(results).limit(0)).first().pass_rate_pct == 0.0
     ratio = spark.createDataFrame([("abcd", "abcf")], "a string, b string").select(evaluate.fuzzy_ratio(F.col("a"), F.col("b")).alias("r")).first().r
     assert ratio == 0.75
