@@ -138,8 +138,9 @@ def strip_markdown(c: Column) -> Column:
     return F.trim(c)
 
 
-def plain_preview(c: Column, n: int = 120) -> Column:
-    return F.substring(F.regexp_replace(c, r"^[#>*\-\s]+", ""), 1, n)
+def plain_preview(c: Column, n: int = 36) -> Column:
+    """The first n characters without the leading marker and signs of emphasis."""
+    return F.left(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s*[#>*\-_`]*\s*", ""), "[*_`]", ""), F.lit(n))
 
 
 _CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,17 @@ class EntityScorer:
         subject = next((k for k, n in enumerate(names) if self.types[n] in SUBJECT_TYPES), 0)
         return [Entity(n, self.types[n], 1.0 if k == subject else 0.3, self.aliases_of(n)) for k, n in enumerate(names)]
 
+    def detect_all(self, queries: DataFrame, column: str = "query") -> DataFrame:
+        """queries with ``entities`` array<struct<name, type, weight>>, as ``detect`` finds
+        them; null: none. The longest name first, none inside another, over all
+        places has no built-in form: Arrow batches, with the dictionary as configuration."""
+
+        @F.pandas_udf("array<struct<name:string,type:string,weight:double>>")
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: [{"name": e.name, "type": e.type, "weight": e.weight} for e in self.detect(t or "")])
+
+        return queries.withColumn("entities", run(column))
+
     def expand(self, query: str, entities: list[Entity]) -> str:
         more = dict.fromkeys(a for e in entities for a in e.aliases if a not in query)
         return " ".join([query, *more])

@@ -9,7 +9,7 @@ from ..functions import chunking
 from ..functions import text as X
 from ..operators import classify, entity, evaluate, facets, fusion, lexical, observe, topics, vector
 from ..operators.filters import Filter, not_excluded
-from . import ask, corpus, ingest
+from . import article, ask, corpus, ingest
 from .corpus import table
 from .searcher import Searcher
 
@@ -453,6 +453,30 @@ def ask_postfilter(spark, d):
     return _SINCE.apply(found).orderBy(F.round("ranking_score", 9).desc(), "article_id").limit(5).select("article_id", F.round("ranking_score", 6).alias("ranking_score"))
 
 
+@query("""SELECT item_id, len(n) AS n_entities, array_to_string(n, ',') AS names FROM (SELECT item_id, regexp_extract_all(text, 'the|and') AS n FROM benchmark)""")
+def entity_detect_many(spark, d):
+    scorer = entity.EntityScorer({"the": "concept", "and": "work"})
+    found = scorer.detect_all(table(spark, d, "benchmark").select("item_id", "text"), "text")
+    return found.select("item_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["name"]), ",").alias("names"))
+
+
+# --- article view -------------------------------------------------------------------------
+
+_MATCHED = "(contains(title_f, 'theand') OR contains(content_f, 'theand') OR contains(tags_f, 'theand'))"
+
+
+@query(f"""WITH {CIDX} SELECT chunk_index, chunk_text, substr(regexp_replace(regexp_replace(chunk_text, '^\\s*[#>*\\-_`]*\\s*', ''), '[*_`]', '', 'g'), 1, 36) AS preview, {_MATCHED} AS matched
+  FROM cidx WHERE article_id = 7""")
+def article_view(spark, d):
+    return article.article_chunks(corpus.chunk_index(spark, d), 7, ONE)
+
+
+@query(f"""WITH {CIDX} SELECT article_id, count(*) AS n_matched, string_agg(chunk_index, ',' ORDER BY chunk_index) AS matched FROM cidx WHERE {_MATCHED} GROUP BY 1""")
+def article_matched_chunks(spark, d):
+    out = article.matched_chunks(corpus.chunk_index(spark, d), ONE)
+    return out.select("article_id", F.size("matched").cast("long").alias("n_matched"), F.array_join(F.col("matched").cast("array<string>"), ",").alias("matched"))
+
+
 # --- evaluation ------------------------------------------------------------------------
 
 EV = f"""{CH}, kw AS (SELECT item_id, text, (list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: length(w) >= 4))[1:3] AS keywords FROM benchmark),

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import shutil
+import tempfile
 from datetime import date, datetime
+from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -11,6 +16,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import chunking
 from ..functions import text as X
 
 
@@ -120,3 +126,59 @@ def accepted(parsed: DataFrame) -> DataFrame:
 def to_markdown(articles: DataFrame) -> DataFrame:
     """(article_id, markdown): export with the title as heading."""
     return articles.select("article_id", F.concat(F.lit("# "), "title", F.lit("\n\n"), "content", F.lit("\n")).alias("markdown"))
+
+
+def with_strategy(text: str, strategy: str) -> str:
+    """text with chunk_strategy in its front matter, all other lines as they are; a
+    front matter whose value runs over several lines is written anew."""
+    plain = text.replace("\r\n", "\n")
+    meta, body = split_front_matter(plain)
+    line = f"chunk_strategy: {strategy}"
+    if not meta and not plain.removeprefix("\ufeff").startswith("---\n"):
+        out = f"---\n{line}\n---\n{body}"
+    else:
+        start, head, rest = re.match(r"(\ufeff?---\n)(.*?)(\n---.*)", plain, re.DOTALL).groups()
+        put, n = re.subn(r"(?m)^chunk_strategy[ \t]*:.*$", lambda _: line, head)
+        out = f"{start}{put if n else head + chr(10) + line}{rest}"
+        try:
+            same = split_front_matter(out)[0] == meta | {"chunk_strategy": strategy}
+        except IngestError:
+            same = False
+        if not same:
+            out = f"{start}{yaml.safe_dump(meta | {'chunk_strategy': strategy}, allow_unicode=True, sort_keys=False).rstrip()}{rest}"
+    return out.replace("\n", "\r\n") if "\r\n" in text else out
+
+
+def set_chunk_strategy(target: str | Path, strategy: str, *, recursive: bool = True, keep: bool = False, dry_run: bool = False) -> list[tuple[Path, str]]:
+    """Set the strategy of a Markdown file, or of a folder's. Returns each file's
+    outcome: changed, unchanged, kept (it has another one and ``keep`` is set) or
+    failed. Files are replaced whole, by one rename; a dry run writes none."""
+    if strategy not in chunking.STRATEGIES:
+        raise ValueError(f"unknown chunk strategy {strategy!r}; known: {', '.join(sorted(chunking.STRATEGIES))}")
+    target = Path(target)
+    out = []
+    for path in [target] if target.is_file() else sorted(target.glob("**/*.md" if recursive else "*.md")):
+        try:
+            text = path.read_bytes().decode("utf-8")
+            now = split_front_matter(text)[0].get("chunk_strategy")
+        except (IngestError, UnicodeDecodeError) as e:
+            out.append((path, f"failed: {e}"))
+            continue
+        what = "unchanged" if now == strategy else "kept" if now and keep else "changed"
+        if what == "changed" and not dry_run:
+            with tempfile.NamedTemporaryFile("wb", dir=path.parent, suffix=".tmp", delete=False) as f:
+                f.write(with_strategy(text, strategy).encode("utf-8"))
+            shutil.copymode(path, f.name)
+            os.replace(f.name, path)
+        out.append((path, what))
+    return out
+
+
+def preview_chunks(spark: SparkSession, path: str | Path, strategy: str = "paragraph", head: int = 80) -> DataFrame:
+    """(chunk_index, length, head) of the chunks that ingest would make of one file,
+    by its own strategy if it names one; nothing is written."""
+    meta, body = split_front_matter(Path(path).read_text(encoding="utf-8"))
+    made = chunking.chunk(F.col("body"), str(meta.get("chunk_strategy") or strategy))
+    flat = spark.createDataFrame([(X.normalize_str(body),)], "body string").select(F.posexplode(made).alias("chunk_index", "t"))
+    cut = F.concat(F.replace(F.left("t", F.lit(head)), F.lit("\n"), F.lit(" / ")), F.when(F.length("t") > head, "...").otherwise(""))
+    return flat.select("chunk_index", F.length("t").alias("length"), cut.alias("head"))
