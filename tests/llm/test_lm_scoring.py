@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -89,6 +90,58 @@ def test_endings_are_grouped_by_all_texts(spark):
         assert group[lm._ending(rows[8400 + j][1].lower().encode())] == group[lm._ending(rows[j][1].encode())]
 
 
+def plain_softmax(weights, features, bias):
+    z = sum(weights[features[:, k]] for k in range(features.shape[1])) + bias
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def plain_update(weights, seen, met, features, error, rate):
+    for k in range(features.shape[1]):
+        order = np.argsort(features[:, k].astype(np.uint16), kind="stable")
+        rows = features[order, k]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g, at = np.add.reduceat(error[order], starts, axis=0), rows[starts]
+        seen[at] += (g * g).sum(axis=1)
+        met[at] += np.diff(np.append(starts, len(rows)))
+        g *= (rate / np.sqrt(seen[at] + 1))[:, None]
+        weights[at] += g
+
+
+def step_of(softmax, update):
+    """A training step of one chunk, and what it leaves."""
+    r = np.random.default_rng(11)
+    features = np.stack([np.minimum(r.zipf(1.2, lm.CHUNK), 6000), 6144 + r.integers(0, 6000, lm.CHUNK), 12_288 + r.integers(0, lm.PAIRS, lm.CHUNK)], axis=1)
+    weights = r.normal(0, 0.5, (2 * lm.WORDS + lm.PAIRS, lm.CLASSES)).astype(np.float32)
+    seen, met = np.zeros(len(weights), np.float32), np.zeros(len(weights), np.float32)
+    bias = np.log(r.random((1, lm.CLASSES))).astype(np.float32)
+    began = time.thread_time()
+    error = -softmax(weights, features, bias)
+    error[np.arange(len(error)), features[:, 0] % lm.CLASSES] += 1
+    update(weights, seen, met, features, error, lm.RATE)
+    return time.thread_time() - began, error, weights, seen, met
+
+
+def test_a_step_is_the_plain_one_for_less_time():
+    """A chunk's step takes about half of the plain form's time."""
+    own, plain = ([step_of(*f) for _ in range(9)] for f in ((lm._softmax, lm._update), (plain_softmax, plain_update)))
+    for x, y in zip(own[0][1:], plain[0][1:]):
+        assert np.allclose(x, y, rtol=1e-4, atol=1e-5)
+    assert min(x[0] for x in own) < 0.8 * min(x[0] for x in plain)
+
+
+@pytest.mark.parametrize("high", [0.0, 95.0, -120.0, 5000.0])
+def test_softmax_of_extreme_weights(high):
+    r = np.random.default_rng(12)
+    weights = r.normal(0, 1, (50, lm.CLASSES)).astype(np.float32)
+    weights[7] += np.float32(high)
+    weights[9, 3] += np.float32(high)
+    features = np.array([[7, 8], [9, 7], [1, 2], [9, 3]])
+    got = lm._softmax(weights, features, np.zeros((1, lm.CLASSES), np.float32))
+    assert np.isfinite(got).all() and np.allclose(got, plain_softmax(weights, features, 0), atol=1e-5)
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     got = lm.score(docs).collect()

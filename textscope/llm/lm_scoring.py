@@ -97,15 +97,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(as_bytes("text").alias("raw")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _softmax(weights: np.ndarray, features: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = weights[features[:, 0]]
+def _raised(weights: np.ndarray, features: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A softmax before its division: the numerators, and each row's sum."""
+    z = weights.take(features[:, 0], axis=0)
     for k in range(1, features.shape[1]):
-        z += weights[features[:, k]]
+        z += weights.take(features[:, k], axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    ones = np.ones(z.shape[1], z.dtype)
+    with np.errstate(over="ignore"):
+        out = np.exp(z)
+        total = out @ ones
+    if not (total.min(initial=1) > 1e-6 and total.max(initial=1) < 1e30):  # only then it takes the rows' maxima
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=out)
+        total = out @ ones
+    return out, total
+
+
+def _softmax(weights: np.ndarray, features: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out, total = _raised(weights, features, bias)
+    out /= total[:, None]
+    return out
 
 
 class Tokens:
@@ -182,25 +194,42 @@ class Model:
         out = np.empty(len(t.cls))
         for a in range(0, len(t.cls), CHUNK):
             at = slice(a, a + CHUNK)
-            p, q = self.probabilities(t, at)
-            c, s, k = t.cls[at], t.slot[at], np.arange(len(p))
-            found = np.log10(np.maximum(p[k, c], 1e-30)) + np.log10(np.maximum(q[k, s], 1e-30))
+            c, s = t.cls[at], t.slot[at]
+            (p, all_p), (q, all_q) = _raised(self.weights[0], t.first[at], self.bias[0]), _raised(self.weights[1], t.second[at], self.bias[1].take(c, axis=0))
+            k = np.arange(len(p))
+            found = np.log10(np.maximum(p[k, c] / all_p, 1e-30)) + np.log10(np.maximum(q[k, s] / all_q, 1e-30))
             out[at] = found - np.where(s == SLOTS - 1, self.log_rest[c], self.log_count[t.rank[at]])
         return out
 
 
+def _row_sums(error: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the rows order[start : start + size]. Most segments are of one row,
+    which is taken as it is; the others are added two columns at a time."""
+    out = error.take(order[starts], axis=0)
+    many = sizes > 1
+    if many.any():
+        n = sizes[many]
+        rows = error.take(order[np.repeat(many, sizes)], axis=0).view(np.complex64)
+        out[many] = np.add.reduceat(rows, np.cumsum(n) - n, axis=0).view(np.float32)
+    return out
+
+
 def _update(weights: np.ndarray, seen: np.ndarray, met: np.ndarray, features: np.ndarray, error: np.ndarray, rate: float) -> None:
     """A gradient step of some tokens: error is seen - expected by token. ``seen``
     holds each row's sum of squared gradients, ``met`` how often it occurred."""
     for k in range(features.shape[1]):
-        order = np.argsort(features[:, k].astype(np.uint16), kind="stable")  # two bytes: sorted by radix
-        rows = features[order, k]
+        row = features[:, k].astype(np.uint16)
+        order = np.argsort(row, kind="stable")  # two bytes: sorted by radix
+        rows = row[order]
         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g, at = np.add.reduceat(error[order], starts, axis=0), rows[starts]
-        seen[at] += (g * g).sum(axis=1)
-        met[at] += np.diff(np.append(starts, len(rows)))
-        g *= (rate / np.sqrt(seen[at] + 1))[:, None]
-        weights[at] += g
+        sizes = np.diff(starts, append=len(rows))
+        g, at = _row_sums(error, order, starts, sizes), rows[starts].astype(np.int64)
+        now = seen[at] + np.einsum("ij,ij->i", g, g)
+        seen[at] = now
+        met[at] += sizes
+        g *= (rate / np.sqrt(now + 1))[:, None]
+        g += weights.take(at, axis=0)
+        weights[at] = g
 
 
 def _ending_counts(docs: DataFrame, head: list[bytes]) -> np.ndarray:
@@ -289,8 +318,9 @@ def _round(docs: DataFrame, model: Model, tokens: float) -> list[np.ndarray]:
                 t = m.encode(texts)
                 for a in range(0, len(t.cls), CHUNK):
                     at = slice(a, a + CHUNK)
-                    for k, (features, bias, y) in enumerate(((t.first, m.bias[0], t.cls), (t.second, m.bias[1][t.cls[at]], t.slot))):
-                        error = -_softmax(weights[k], features[at], bias)
+                    for k, (features, bias, y) in enumerate(((t.first, m.bias[0], t.cls), (t.second, m.bias[1].take(t.cls[at], axis=0), t.slot))):
+                        error, total = _raised(weights[k], features[at], bias)
+                        error /= -total[:, None]
                         error[np.arange(len(error)), y[at]] += 1
                         _update(weights[k], seen[k], met[k], features[at], error, RATE)
         group = TaskContext.get().partitionId() % merged
