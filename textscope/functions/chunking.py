@@ -28,12 +28,17 @@ def fixed_window(c: Column, size: int = 1000, overlap: int = 100) -> Column:
     return F.when(F.length(c) > 0, F.transform(starts, lambda i: F.substring(c, i + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def by_marker(c: Column, pattern: str, size: int = 1000, overlap: int = 100) -> Column:
-    """A chunk from each match to the next; text before the first is dropped, and
-    a text without a match is cut into fixed windows."""
+#: What Python's strip() takes off.
+BLANKS = "".join(x for x in map(chr, range(0x3001)) if x.isspace())
+
+
+def by_marker(c: Column, pattern: str, size: int = 1000, overlap: int = 100, blanks: str = BLANKS) -> Column:
+    """A chunk from each match to the next, without ``blanks`` at its ends; text
+    before the first is dropped, and a text without a match is cut into fixed
+    windows. A line starts after \\n alone, as in Python's patterns."""
     body = pattern.removeprefix("(?m)")
-    parts = F.filter(F.split(c, f"(?m)(?={body})"), lambda x: x.rlike(f"^{body.removeprefix('^')}"))
-    kept = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.split(c, f"(?md)(?={body})"), lambda x: x.rlike(f"^{body.removeprefix('^')}"))
+    kept = F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(blanks))), lambda x: x != "")
     return F.when(F.size(kept) > 0, kept).otherwise(fixed_window(c, size, overlap))
 
 
