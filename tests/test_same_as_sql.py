@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 
+from textscope.functions import text as X
 from textscope.plans import queries
 
 
@@ -23,3 +24,10 @@ def differ(spark, d, name: str, **tables) -> tuple[list, list]:
 def test_chunk_markers_on_odd_texts(spark, tmp_path):
     texts = ["", None, " ", "x\rAlpha", "x Beta\u0085Cee", "Alpha\x0b\nBeta\f", "Dee \u0085", "pre\nAlpha\r\nBeta \n\n Cee\nKay　", "é" * 2500, "A", "zed"]
     assert differ(spark, tmp_path, "chunk_markers", documents=("doc_id long, text string", list(enumerate(texts)))) == ([], [])
+
+
+def test_normalize_any_html_on_entities_that_are_cut_off(spark, tmp_path):
+    pages = ["<title>a &amp;&amp</title> b &amp;c &ampc; &copy", "&quot;x&quot &amp;quot; &middot;", "<p>\t a  \r\n\r\n\r\n\r\n b </p>"]
+    assert differ(spark, tmp_path, "normalize_any_html", pages=("page_id long, html string", list(enumerate(pages)))) == ([], [])
+    assert X.normalize_str("a &amp;&amp &copy") == "a && ©"  # the reference's form, unchanged
+    assert X.normalize_str("&eacute; &#39; &#x41; &nosuch; &amp", bare=False) == "é ' A &nosuch; &amp"

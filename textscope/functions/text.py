@@ -7,6 +7,7 @@ diacritics, everything but letters, numbers and private-use characters gone.
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 import unicodedata
 
@@ -84,8 +85,18 @@ def normalize_known(c: Column) -> Column:
     return collapse(F.coalesce(c, F.lit("")))
 
 
-def normalize_str(text: str | None) -> str:
-    t = html.unescape(unicodedata.normalize("NFC", text or ""))
+#: An entity with its semicolon.
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+
+
+def _decoded(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0]
+
+
+def normalize_str(text: str | None, bare: bool = True) -> str:
+    """bare: entities that lack their semicolon are decoded too, as browsers do."""
+    t = unicodedata.normalize("NFC", text or "")
+    t = html.unescape(t) if bare else _CLOSED.sub(_decoded, t)
     t = re.sub(r"<[a-zA-Z/!][^>]*>", "", t)
     t = re.sub(r"\r\n?", "\n", t)
     t = re.sub(r"(?m)[ \t　]+$", "", t)
@@ -99,6 +110,13 @@ def normalize(s: pd.Series) -> pd.Series:
     return s.map(normalize_str)
 
 
+@F.pandas_udf(StringType())
+def normalize_closed(s: pd.Series) -> pd.Series:
+    """``normalize`` that leaves an entity without its semicolon, such as one cut off
+    at the end of a title, as it is."""
+    return s.map(lambda t: normalize_str(t, bare=False))
+
+
 def escape_html(c: Column) -> Column:
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(sign), F.lit(entity))
