@@ -13,11 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lexical import computed, shared
+
 OVERLAP_GATE = 0.70
 TOP_KEYS = 10
 #: Articles of a question that count.
 TOP_K = 20
 FUZZY = 0.6
+#: Groups of articles that ``first_chunks`` takes the least of.
+GROUPS = 64
 
 
 def keyword_hits(content: Column, keywords: Column) -> Column:
@@ -42,6 +46,27 @@ def fuzzy_ratio(title: Column, hint: Column) -> Column:
     return run(title, hint)
 
 
+def first_chunks(chunks: DataFrame, words: DataFrame, n: int = TOP_K) -> DataFrame:
+    """(k, article_id, chunk_index, rank): of each word the first ``n`` chunks, by
+    article and place, that hold it in any case. words: (k), lower case; they are
+    broadcast.
+
+    Texts don't move, only the numbers of the words that a chunk holds. Of each word
+    the least article of each of GROUPS groups is kept; ``n`` articles with the word
+    come no later than the n-th least of these, so only hits up to it are sorted. A
+    word in fewer groups has few hits, which are all sorted."""
+    listed = words.agg(F.array_sort(F.collect_set("k")).alias("__words"))
+    low = chunks.select("article_id", "chunk_index", F.lower("chunk_text").alias("__low")).crossJoin(F.broadcast(listed))
+    numbers = F.array_compact(F.transform("__words", lambda w, i: F.when(F.contains("__low", w), i)))
+    held = shared(computed(low, {"__held": numbers}).select("article_id", "chunk_index", "__held"), "article_id")
+    each = held.select("article_id", "chunk_index", F.explode("__held").alias("__w"))
+    least = each.groupBy("__w", F.pmod(F.hash("article_id"), F.lit(GROUPS)).alias("__g")).agg(F.min("article_id").alias("__a"))
+    bound = least.groupBy("__w").agg(F.get(F.array_sort(F.collect_list("__a")), F.lit(n - 1)).alias("__last"))
+    near = each.join(F.broadcast(bound), "__w").where(F.col("__last").isNull() | (F.col("article_id") <= F.col("__last")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("__w").orderBy("article_id", "chunk_index"))).where(F.col("rank") <= n)
+    return ranked.crossJoin(F.broadcast(listed)).select(F.get("__words", F.col("__w")).alias("k"), "article_id", "chunk_index", "rank")
+
+
 def rollup(hits: DataFrame, top_k: int | None = None) -> DataFrame:
     """One row an article and question: its best-scored hit (the earlier at a tie),
     the contents joined in rank order, and the number of hits. first_rank is that

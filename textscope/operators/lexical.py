@@ -27,6 +27,14 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def shared(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt out by ``key`` and computed once for all that a query makes of it:
+    rows move packed, so no filter and no choice of columns gets below the exchange
+    and Spark finds the same one each time. Choose columns before; all of them move."""
+    packed = df.select(F.col(key).alias("__key"), F.array(F.struct(*df.columns)).alias("__rows"))
+    return packed.repartition("__key").select(F.inline("__rows"))
+
+
 def folded(articles: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
     """articles with a folded column ``{name}_f`` for each of columns (name ->
     source) and doc_len, their total length. Write it once, search it often."""
