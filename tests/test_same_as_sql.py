@@ -55,3 +55,17 @@ def test_first_chunks_by_hand_and_without_moving_texts(spark, tmp_path, capsys,
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     columns = moved(queries._hits(spark, str(tmp_path)), capsys)
     assert columns and "chunk_text" not in columns and "content" not in columns
+
+
+def test_search_cuts_and_folds_each_chunk_once(spark, tmp_path):
+    texts = ["The and of. The and", "and the. of the and so", "Nothing here. At all", "the and. " * 300]
+    tables = {
+        "documents": ("doc_id long, text string, source string, lang string, n_chars long", [(k, t, f"src{k}", "en", len(t)) for k, t in enumerate(texts)]),
+        "labels": ("doc_id long, quality int, toxic int", [(2, 1, 1)]),
+        "embeddings": ("vec_id long, embedding array<float>", [(k, [0.6, 0.8 if k else -0.8]) for k in range(3)]),
+    }
+    assert differ(spark, tmp_path, "rrf_merge", **tables) == ([], [])
+    df = queries.rrf_merge(spark, str(tmp_path))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("posexplode") == 1

@@ -66,32 +66,45 @@ def matches(index: DataFrame, terms: list[str], column: str | None = None, any_t
     return reduce(lambda a, b: (a | b) if any_term else (a & b), held) if held else F.lit(False)
 
 
-def scored(index: DataFrame, query: str | list[str], column: str | None = None, any_term: bool = False) -> DataFrame:
-    """The matching rows of index with bm25_raw; lower is better."""
-    terms = X.phrases(query) if isinstance(query, str) else list(query)
-    if not terms:
-        return index.where(F.lit(False)).withColumn("bm25_raw", F.lit(0.0))
-    counted = computed(index, {"__tf": term_counts(index, terms, column)})
-    stats = counted.agg(
+def statistics(counted: DataFrame, n_terms: int, tf: str = "__tf") -> DataFrame:
+    """One row: rows, their mean length, and how many hold each term."""
+    return counted.agg(
         F.count(F.lit(1)).alias("__n"),
         F.avg("doc_len").alias("__avg"),
-        F.array(*[F.count_if(F.col("__tf")[k] > 0) for k in range(len(terms))]).alias("__df"),
+        F.array(*[F.count_if(F.col(tf)[k] > 0) for k in range(n_terms)]).alias("__df"),
     )
-    hit = [F.col("__tf")[k] > 0 for k in range(len(terms))]
+
+
+def rated(counted: DataFrame, stats: DataFrame, n_terms: int, any_term: bool = False) -> DataFrame:
+    """The rows of counted (__tf, doc_len) that match, with bm25_raw."""
+    hit = [F.col("__tf")[k] > 0 for k in range(n_terms)]
     # a match on the scan side first, so that only hits meet the one-row statistics
     found = counted.where(reduce(lambda a, b: (a | b) if any_term else (a & b), hit)).crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in range(n_terms):
         df, tf = F.col("__df")[k], F.col("__tf")[k].cast("double")
         idf = F.log((F.col("__n") - df + 0.5) / (df + 0.5))
         total = total + F.when(idf <= 0, 1e-6).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("__avg")))
     return found.withColumn("bm25_raw", -total).drop("__tf", "__n", "__avg", "__df")
 
 
-def search(index: DataFrame, query: str, *, limit: int = 50, axes: DataFrame | None = None, axis: str | None = None, column: str | None = None, any_term: bool = False) -> DataFrame:
+def scored(index: DataFrame, query: str | list[str], column: str | None = None, any_term: bool = False) -> DataFrame:
+    """The matching rows of index with bm25_raw; lower is better. The texts are folded
+    twice, for the statistics and for the scores, unless index is written."""
+    terms = X.phrases(query) if isinstance(query, str) else list(query)
+    if not terms:
+        return index.where(F.lit(False)).withColumn("bm25_raw", F.lit(0.0))
+    counted = computed(index, {"__tf": term_counts(index, terms, column)})
+    return rated(counted, statistics(counted, len(terms)), len(terms), any_term)
+
+
+def search(index: DataFrame, query: str, *, limit: int = 50, axes: DataFrame | None = None, axis: str | None = None, column: str | None = None, any_term: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Best ``limit`` rows: bm25_raw, and bm25_score in 0..1 relative to the best
-    returned. Excluded rows are left out; ties go by article_id."""
-    found = scored(index, query, column, any_term).where(not_excluded())
+    returned. Excluded rows are left out; ties go by article_id. counts: article_counts
+    of the query's phrases; their columns come back, and no text is folded again."""
+    n = len(X.phrases(query))
+    found = rated(counts, statistics(counts, n), n, any_term) if counts is not None and n else scored(index, query, column, any_term)
+    found = found.where(not_excluded())
     if axis is not None:
         found = found.join(axes.where(F.col("axis_id") == axis).select("article_id").distinct(), "article_id", "left_semi")
     top = found.orderBy(F.round("bm25_raw", 6), "article_id").limit(limit)
@@ -104,17 +117,42 @@ def normalized(top: DataFrame) -> DataFrame:
     return top.crossJoin(F.broadcast(most)).withColumn("bm25_score", F.when(F.col("__most") > 0, F.abs("bm25_raw") / F.col("__most")).otherwise(0.0)).drop("__most")
 
 
-def chunk_signal(chunks: DataFrame, query: str, *, limit: int = 50, over_fetch: int = 5, any_term: bool = False) -> DataFrame:
+def article_counts(index: DataFrame, terms: list[str]) -> DataFrame:
+    """(article_id, category, doc_len, __tf) of all rows, computed once."""
+    return shared(computed(index, {"__tf": term_counts(index, terms)}).select("article_id", "category", "doc_len", "__tf"), "article_id")
+
+
+def chunk_counts(chunks: DataFrame, terms: list[str], content_terms: list[str] = ()) -> DataFrame:
+    """(article_id, chunk_index, doc_len, __tf, __ctf), computed once: how often each
+    chunk holds terms in any column, and content_terms in its content."""
+    counted = computed(chunks, {"__tf": term_counts(chunks, terms), "__ctf": term_counts(chunks, list(content_terms), "content").cast("array<int>")})
+    return shared(counted.select("article_id", "chunk_index", "doc_len", "__tf", "__ctf"), "article_id")
+
+
+def chunk_signal(chunks: DataFrame, query: str, *, limit: int = 50, over_fetch: int = 5, any_term: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """(article_id, chunk_raw): the best chunk of each article among the best
-    limit * over_fetch chunks, then the best ``limit`` articles."""
-    top = scored(chunks, query, any_term=any_term).orderBy(F.round("bm25_raw", 6), "article_id", "chunk_index").limit(limit * over_fetch)
+    limit * over_fetch chunks, then the best ``limit`` articles. counts: chunk_counts
+    of the query's phrases, if they serve others too."""
+    terms = X.phrases(query)
+    if counts is None and terms:
+        counts = chunk_counts(chunks, terms)
+    found = rated(counts.drop("__ctf"), statistics(counts, len(terms)), len(terms), any_term) if terms else scored(chunks, query)
+    top = found.orderBy(F.round("bm25_raw", 6), "article_id", "chunk_index").limit(limit * over_fetch)
     return top.groupBy("article_id").agg(F.min("bm25_raw").alias("chunk_raw")).orderBy(F.round("chunk_raw", 6), "article_id").limit(limit)
 
 
-def chunk_hits(chunks: DataFrame, query: str, ids: DataFrame, top: int = 3, any_term: bool = False) -> DataFrame:
+def chunk_hits(chunks: DataFrame, query: str, ids: DataFrame, top: int = 3, any_term: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """The best ``top`` matching chunks of each given article, with chunk_rank and
-    chunk_hits, the number of all that match."""
-    found = scored(chunks, query, column="content", any_term=any_term).join(ids.select("article_id").distinct(), "article_id", "left_semi")
+    chunk_hits, the number of all that match. With counts, chunk_counts whose
+    content_terms are the query's phrases, ids must be few: they are broadcast, and
+    the other articles' chunks are not folded again."""
+    terms = X.phrases(query)
+    if counts is not None and terms:
+        some = chunks.join(F.broadcast(ids.select("article_id").distinct()), "article_id", "left_semi")
+        counted = computed(some, {"__tf": term_counts(some, terms, "content")})
+        found = rated(counted, statistics(counts, len(terms), "__ctf"), len(terms), any_term)
+    else:
+        found = scored(chunks, query, column="content", any_term=any_term).join(ids.select("article_id").distinct(), "article_id", "left_semi")
     by = Window.partitionBy("article_id")
     ranked = found.withColumn("chunk_rank", F.row_number().over(by.orderBy(F.round("bm25_raw", 6), "chunk_index"))).withColumn("chunk_hits", F.count(F.lit(1)).over(by))
     return ranked.where(F.col("chunk_rank") <= top)

@@ -34,8 +34,11 @@ class Searcher:
         spark = self.index.sparkSession
         none = lambda name: spark.createDataFrame([], self.index.select("article_id").schema).withColumn(name, F.lit(0.0))
         use_vector = query_vector is not None and self.vectors is not None and self.alpha < 1
-        a = lexical.search(self.index, query, limit=self.pool, axes=self.axes, axis=axis) if self.alpha > 0 else none("bm25_score")
-        b = vector.search(self.vectors, self.index, query_vector, limit=self.pool, axes=self.axes, axis=axis) if use_vector else none("cosine_score")
+        terms = X.phrases(query)
+        # the index folds its texts for whatever is read of it; the counts serve both sides
+        counts = lexical.article_counts(self.index, terms) if self.alpha > 0 and terms else None
+        a = lexical.search(self.index, query, limit=self.pool, axes=self.axes, axis=axis, counts=counts) if self.alpha > 0 else none("bm25_score")
+        b = vector.search(self.vectors, self.index if counts is None else counts, query_vector, limit=self.pool, axes=self.axes, axis=axis) if use_vector else none("cosine_score")
         return fusion.hybrid(a, b, alpha=self.alpha, limit=self.pool)
 
     def search(self, query: str, *, axis: str | None = None, limit: int = 10, query_vector: list[float] | None = None) -> DataFrame:
@@ -45,20 +48,22 @@ class Searcher:
         wide = self.entities.expand(query, found) if found else query
         if query_vector is None and self.embedder is not None and self.alpha < 1:
             query_vector = self.embedder.encode_batch([query])[0]
-        pool = self.hybrid_pool(wide if query.strip() else "", query_vector if query.strip() else None, axis)
-        meta = self.index.select("article_id", *self.meta_columns, "content")
+        pool = lexical.shared(self.hybrid_pool(wide if query.strip() else "", query_vector if query.strip() else None, axis), "article_id")
+        # the pool's rows alone, so that the texts of the others stay where they are
+        meta = self.index.select("article_id", *self.meta_columns, "content").join(F.broadcast(pool.select("article_id")), "article_id", "left_semi")
         main = pool.join(meta, "article_id", "left").withColumn("ranking_score", F.col("hybrid_score"))
-        signal = lexical.chunk_signal(self.chunks, wide, limit=self.pool) if self.chunks is not None and query.strip() else None
+        terms = X.phrases(wide)
+        counts = lexical.chunk_counts(self.chunks, terms, X.phrases(query)) if self.chunks is not None and terms else None
+        signal = lexical.chunk_signal(self.chunks, wide, limit=self.pool, counts=counts) if self.chunks is not None and query.strip() else None
         fused = fusion.rrf(main, signal, boost, limit=self.pool, chunk_rank_order=self.chunk_rank_order)
         out = fused.withColumn("ranking_score", F.col("rrf_score"))
         if found:
             out = self.entities.score(out, found).withColumn("ranking_score", F.col("entity_score"))
-        top = out.orderBy(F.round("ranking_score", 9).desc(), "article_id").limit(limit)
-        terms = query.split()
-        top = top.withColumn("content_snippet", X.snippet(F.col("content"), terms)).withColumn("content_full", F.left("content", F.lit(500))).drop("content")
+        top = lexical.shared(out.orderBy(F.round("ranking_score", 9).desc(), "article_id").limit(limit), "article_id")
+        top = top.withColumn("content_snippet", X.snippet(F.col("content"), query.split())).withColumn("content_full", F.left("content", F.lit(500))).drop("content")
         if self.chunks is None:
-            return top.withColumn("chunk_hits", F.lit(0).cast("long"))
-        hits = lexical.chunk_hits(self.chunks, query, top)
+            return top.withColumn("chunk_hits", F.lit(0).cast("long")).orderBy(F.round("ranking_score", 9).desc(), "article_id")
+        hits = lexical.chunk_hits(self.chunks, query, top, counts=counts)
         best = hits.groupBy("article_id").agg(
             F.max("chunk_hits").alias("chunk_hits"),
             F.array_sort(F.collect_list(F.struct("chunk_rank", "chunk_index", "chunk_text", F.col("bm25_raw").alias("score")))).alias("matched_chunks"),
